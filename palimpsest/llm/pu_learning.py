@@ -35,19 +35,22 @@ def fit_nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, *, steps: int =
     (the published correction against overfitting). Full batches: the samples are bounded.
     """
     d = x_pos.shape[1]
+    x_pos, x_unl = np.ascontiguousarray(x_pos, np.float32), np.ascontiguousarray(x_unl, np.float32)
     w, b = np.zeros(d), 0.0
     m, v, mb, vb = np.zeros(d), np.zeros(d), 0.0, 0.0
     sig = lambda z: 0.5 * (1 + np.tanh(0.5 * z))
+    dot = lambda g, x: (g.astype(np.float32) @ x).astype(np.float64)
     n_p, n_u = max(len(x_pos), 1), max(len(x_unl), 1)
     for t in range(1, steps + 1):
-        zp, zu = x_pos @ w + b, x_unl @ w + b
+        w32 = w.astype(np.float32)
+        zp, zu = (x_pos @ w32 + b).astype(np.float64), (x_unl @ w32 + b).astype(np.float64)
         neg_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gp_neg, gu_neg = prior * sig(zp) / n_p, sig(zu) / n_u
         if neg_risk < 0:
-            gw, gb = -(gu_neg @ x_unl - gp_neg @ x_pos), -(gu_neg.sum() - gp_neg.sum())
+            gw, gb = -(dot(gu_neg, x_unl) - dot(gp_neg, x_pos)), -(gu_neg.sum() - gp_neg.sum())
         else:
             gp = -prior * (1 - sig(zp)) / n_p - gp_neg
-            gw, gb = gp @ x_pos + gu_neg @ x_unl, gp.sum() + gu_neg.sum()
+            gw, gb = dot(gp, x_pos) + dot(gu_neg, x_unl), gp.sum() + gu_neg.sum()
         gw = gw + l2 * w
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
@@ -57,8 +60,11 @@ def fit_nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, *, steps: int =
     return LinearPU(w, float(b))
 
 
-def calibrate(margin: np.ndarray, label: np.ndarray, steps: int = 200) -> tuple[float, float]:
-    """Platt scaling (a, b): P(1) = sigmoid(a margin + b), a > 0, by Newton steps with smoothed targets."""
+def calibrate(margin: np.ndarray, label: np.ndarray, steps: int = 200, prior: float | None = None) -> tuple[float, float]:
+    """Platt scaling (a, b): P(1) = sigmoid(a margin + b), a > 0, by Newton steps with smoothed targets.
+
+    ``prior``: the share of label 1 that the result should assume where the rows have another one.
+    """
     n1, n0 = label.sum(), (1 - label).sum()
     if not n1 or not n0:
         return 1.0, 0.0
@@ -75,7 +81,8 @@ def calibrate(margin: np.ndarray, label: np.ndarray, steps: int = 200) -> tuple[
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-9:
             break
-    return max(float(a), 1e-3), float(b)
+    shift = 0.0 if prior is None else float(np.log(prior / (1 - prior)) - np.log(n1 / n0))
+    return max(float(a), 1e-3), float(b) + shift
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

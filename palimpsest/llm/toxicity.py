@@ -21,14 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pu_learning import LinearPU, calibrate, fit_nnpu, fold, sample_ids, sigmoid
-from .spark_util import map_arrow, with_id
+from .spark_util import map_arrow, materialize, with_id
 from .text_kernels import ALNUM_ANY, blocks, buffers, hash_spans, words
 
 HELD_OUT = (4, 2)
-MAX_POSITIVE = 4000
-MAX_LABELLED = 6000
-MAX_UNLABELLED = 8000
-MAX_FEATURES = 3000
+MAX_POSITIVE = 3000
+MAX_LABELLED = 3000
+MAX_UNLABELLED = 5000
+#: Most features, and the least z-score of one.
+MAX_FEATURES = 400
+MIN_Z = 4.5
 #: Bytes of word beginnings that are features too, and the bits of all hashes.
 PREFIXES = (5, 7)
 HASH_BITS = 22
@@ -103,24 +105,30 @@ class ToxicModel:
         return sigmoid(self.scale[0] * z + self.scale[1])
 
 
-def sampled_texts(docs: DataFrame, ids: DataFrame) -> pa.Table:
-    """Features of a bounded sample: doc_id, y, and each text's distinct hashes with counts."""
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")
+def document_frequencies(sample: DataFrame) -> DataFrame:
+    """``key, n1, nu``: in how many positives and unlabelled texts of the sample each hash stands; summed a batch at a time."""
 
     def run(batches):
         for b in batches:
-            buf, off = buffers(b.column(2))
-            keys, counts, total = [], [], []
-            for _, _, bb, oo in blocks(buf, off):
+            y = b.column(0).to_numpy()
+            buf, off = buffers(b.column(1))
+            for i, _, bb, oo in blocks(buf, off):
                 views, w_off = hashed_words(bb, oo)
-                for i in range(len(oo) - 1):
-                    x, c = np.unique(np.concatenate([h[w_off[i] : w_off[i + 1]] for h in views]), return_counts=True)
-                    keys.append(x.astype(np.int32))
-                    counts.append(c.astype(np.int32))
-                    total.append(int(w_off[i + 1] - w_off[i]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(total, pa.int64())], names=["doc_id", "y", "keys", "counts", "n"])
-
-    return map_arrow(picked, run, "doc_id long, y int, keys array<int>, counts array<int>, n long").toArrow()
+                sets = {1: [], -1: []}
+                for d in range(len(oo) - 1):
+                    if y[i + d] != 0:
+                        sets[int(y[i + d])].append(np.unique(np.concatenate([h[w_off[d] : w_off[d + 1]] for h in views])))
+                keys, counts = [], []
+                for x in (1, -1):
+                    k, c = np.unique(np.concatenate(sets[x]) if sets[x] else np.zeros(0, np.uint64), return_counts=True)
+                    keys.append(k.astype(np.int64))
+                    counts.append(c)
+                n1 = np.concatenate([counts[0], np.zeros(len(keys[1]), np.int64)])
+                nu = np.concatenate([np.zeros(len(keys[0]), np.int64), counts[1]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(n1), pa.array(nu)], names=["key", "n1", "nu"])
+
+    parts = map_arrow(sample.select("y", "text"), run, "key long, n1 long, nu long")
+    return parts.groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("nu").alias("nu"))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: tuple[int, int] | None = HELD_OUT, max_positive: int = MAX_POSITIVE, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> ToxicModel:
@@ -135,42 +143,33 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: tu
     pos = sample_ids(learn.where("y = 1"), max_positive, 21)
     neg = sample_ids(learn.where("y = 0"), max_labelled, 22)
     unl = sample_ids(with_id(docs.select("doc_id"), "doc_id"), max_unlabelled, 23).distinct().withColumn("y", F.lit(-1))
-    table = sampled_texts(docs, pos.unionByName(neg).unionByName(unl))
+    ids = pos.unionByName(neg).unionByName(unl)
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text"), "toxic-sample")
+    # two-sample z-score of each hash's document frequency among positives and unlabelled texts
+    sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, nu = max(sizes.get(1, 0), 1), max(sizes.get(-1, 0), 1)
+    p = (F.col("n1") + F.col("nu")) / (n1 + nu)
+    z = (F.col("n1") / n1 - F.col("nu") / nu) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / nu) + F.lit(1e-12))
+    best = document_frequencies(sample).where("n1 + nu >= 5").select("key", F.abs(z).alias("z")).where(F.col("z") > MIN_Z)
+    keys = np.sort(np.array([r.key for r in best.orderBy(F.desc("z"), "key").limit(MAX_FEATURES).collect()], np.uint64))
+    if not len(keys):
+        return ToxicModel(keys, None, (1.0, 0.0), prior)
+    blank = docs.sparkSession.sparkContext.broadcast(ToxicModel(keys, None, (1.0, 0.0), prior))
+
+    def run(batches):
+        for b in batches:
+            rows = [x for m in blank.value.matrix(b.column(2)) for x in m.astype(np.float32)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
+
+    table = map_arrow(sample, run, "doc_id long, y int, x array<float>").toArrow()
     y = table["y"].to_numpy()
     order = np.lexsort([table["doc_id"].to_numpy(), y])
+    m = table["x"].combine_chunks().values.to_numpy().reshape(len(y), -1)[order]
     y = y[order]
-    total = np.maximum(table["n"].to_numpy()[order], 20)
-    kcol, ccol = table["keys"].combine_chunks(), table["counts"].combine_chunks()
-    k_off, k_val, c_val = kcol.offsets.to_numpy(), kcol.values.to_numpy(), ccol.values.to_numpy()
-    rows = [(k_val[k_off[i] : k_off[i + 1]], c_val[k_off[i] : k_off[i + 1]]) for i in order]
-    # document frequencies among positives and the rest, as a two-sample z-score
-    size = 1 << HASH_BITS
-    df = {s: np.zeros(size) for s in (1, -1)}
-    for r, (x, _) in enumerate(rows):
-        if y[r] != 0:
-            df[y[r]][x] += 1
-    n1, nu = max((y == 1).sum(), 1), max((y == -1).sum(), 1)
-    p1, pu = df[1] / n1, df[-1] / nu
-    p = (df[1] + df[-1]) / (n1 + nu)
-    z = (p1 - pu) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / nu) + 1e-12)
-    z[df[1] + df[-1] < 5] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:MAX_FEATURES]
-    keys = np.sort(best[np.abs(z[best]) > 4.5]).astype(np.uint64)
-    if not len(keys):
-        return ToxicModel(keys, None, (1.0, 0.0), prior)
-    place = np.full(size, -1)
-    place[keys.astype(np.int64)] = np.arange(len(keys))
-    m = np.zeros((len(rows), 2 * len(keys)), np.float32)
-    for r, (x, c) in enumerate(rows):
-        at = place[x]
-        ok = at >= 0
-        m[r, at[ok]] = np.log1p(c[ok])
-        m[r, len(keys) + at[ok]] = 10 * c[ok] / total[r]
     linear = fit_nnpu(m[y == 1], m[y == -1], prior, steps=250, rate=0.05, l2=1e-3)
     known = y >= 0
-    # the sample of known rows has other shares than the folds: scale on rows weighted back by repetition of the margin
     margin, lab = linear.margin(m[known]), y[known].astype(np.float64)
-    return ToxicModel(keys, linear, calibrate(margin, lab), prior)
+    return ToxicModel(keys, linear, calibrate(margin, lab, prior=prior), prior)
 
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
