@@ -61,29 +61,31 @@ class TestSet:
         return [(i, j, int(self.need[i])) for i in range(len(self.need)) if self.need[i] for j in range(int(self.off[i]), int(self.off[i + 1] - self.need[i]) + 1)]
 
 
-def suffix_array(ids: np.ndarray, at: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """The positions ``at`` sorted by the word sequence from there to the end of its run of known words."""
-    depth = int(run.max()) if len(run) else 0
-    rank = np.zeros(len(at), np.int64)
-    step, order = 8, np.arange(len(at))
-    base = int(ids.max()) + 2 if len(ids) else 2
-    pad = np.concatenate([ids, np.zeros(1, np.int64)])
-    done = 0
-    while done < depth:
-        keys = [rank]
-        for k in range(done, min(done + step, depth)):
-            keys.append(np.where(k < run, pad[np.minimum(at + k, len(ids))], 0))
-        order = np.lexsort(keys[::-1])
-        new = np.zeros(len(at), bool)
-        for key in keys:
-            s = key[order]
-            new[1:] |= s[1:] != s[:-1]
-        rank[order] = np.cumsum(new)
-        done += step
-        if rank.max() == len(at) - 1:
+def suffix_array(ids: np.ndarray, run: np.ndarray, least: int) -> np.ndarray:
+    """Positions with ``least`` known words or more before their run ends, sorted by the words from there to that end.
+
+    Prefix doubling over the positions of such runs: rounds grow with the logarithm of the longest repeat.
+    """
+    here = np.arange(len(ids))
+    back = here - (least - run)  # where a run that goes on to here would have ``least`` words left
+    at = np.flatnonzero((run >= least) | ((run > 0) & (back >= 0) & (run[np.maximum(back, 0)] == least)))
+    if not len(at):
+        return at
+    rank = np.zeros(len(ids) + 1, np.int64)
+    rank[at] = ids[at]
+    h, depth = 1, int(run[at].max())
+    while True:
+        one, two = rank[at], np.where(h < run[at], rank[np.minimum(at + h, len(ids))], 0)
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        rank[at[order]] = np.cumsum(new)
+        h *= 2
+        if h >= depth or new.all():
             break
-    del base
-    return at[order]
+    sa = at[order]
+    return sa[run[sa] >= least]
 
 
 def search(ids: np.ndarray, sa: np.ndarray, run: np.ndarray, query: np.ndarray) -> tuple[int, int]:
@@ -127,10 +129,9 @@ def shard_matches(test: TestSet, h: np.ndarray, w_off: np.ndarray) -> list[tuple
     need = test.need[test.need > 0]
     if not len(need):
         return []
-    at = np.flatnonzero(run >= need.min())
-    if not len(at):
+    sa = suffix_array(ids, run, int(need.min()))
+    if not len(sa):
         return []
-    sa = suffix_array(ids, at, run[at])
     out = []
     for item, j, m in test.queries():
         lo, hi = search(ids, sa, run, test.ids[j : j + m])
