@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format, decontamination, language_id, line_dedup, near_dup, prefix_bpe, quality_classifier, quality_rules, toxicity, warc
 from .pu_learning import fold
-from .spark_util import scratch_path
+from .spark_util import materialize, scratch_path
 
 #: The rank file of op10; its path is a parameter of the operator.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -39,8 +39,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(table(spark, sf_dir, "pages"), path, min_revisit_bytes=0)
     captures = warc.assemble(warc.read_records(spark, path, payloads=False))
     flat = captures.select("capture_id", F.col("metadata.page_id").alias("page_id"), F.col("main.payload_bytes").alias("payload_bytes"), F.col("main.payload_digest").alias("payload_digest"), F.col("main.type").alias("record_type"), F.col("main.refers_to").alias("target"))
-    target = flat.select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"))
-    return flat.join(target, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # archives are read once; only revisits look up the page of their response
+    flat = materialize(flat, "captures")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    target = flat.where("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"))
+    first = flat.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
+    again = flat.where("record_type = 'revisit'").join(target, "target", "left")
+    return first.select(*columns).unionByName(again.select(*columns))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
