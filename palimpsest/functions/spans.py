@@ -53,3 +53,12 @@ def entity(text, type_, start, end, source, role=None, org=None) -> Column:
 def numbered(ents: Column) -> Column:
     """Entities with their place in the list as ``ord``, the last tie-break of the overlap rule."""
     return F.transform(ents, lambda e, i: e.withField("ord", i)).cast(f"array<{ENTITY}>")
+
+
+def once(value: Column) -> Column:
+    """The value, evaluated where it stands.
+
+    Catalyst copies a deterministic column into every filter on it (also those that it infers from ``explode``), and a column of
+    detected entities is dear. It isn't moved past an expression that it takes for non-deterministic.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import predicates as P
-from ..functions.spans import CLOSE, ENTITY, INNER, OPEN, SPAN, before, empty, entity, find, numbered, piece
+from ..functions.spans import CLOSE, ENTITY, INNER, OPEN, SPAN, before, empty, entity, find, numbered, once, piece
 
 RULES = {"EMAIL": L.EMAIL, "PHONE": L.PHONE, "SSN": L.SSN, "CREDIT_CARD": L.CREDIT_CARD, "IP_ADDRESS": L.IP_ADDRESS, "PAN": L.PAN, "DIN": L.DIN}
 
@@ -145,7 +145,17 @@ def detect(units: DataFrame) -> DataFrame:
     rules = rule_columns(F.col("text"))
     found = units.withColumns(rules)
     every = found.select(*units.columns, F.concat(*rules).alias("_all"))
-    return every.select(*units.columns, numbered(F.col("_all")).alias("_all")).select(*units.columns, resolve(F.col("_all")).alias("ents"))
+    return every.select(*units.columns, numbered(F.col("_all")).alias("_all")).select(*units.columns, once(resolve(F.col("_all"))).alias("ents"))
+
+
+def may_hold(text: Column) -> Column:
+    """Whether any rule can match: each but the e-mail, contact and company rules needs a digit."""
+    return text.rlike("[0-9@]") | legal_form(text) | text.rlike(L.CONTACT_PERSON)
+
+
+def detected_entities(units: DataFrame) -> DataFrame:
+    """``entities`` of units, of which those that no rule can match leave before any rule runs."""
+    return entities(detect(units.where(may_hold(F.col("text")))))
 
 
 def entities(detected: DataFrame) -> DataFrame:

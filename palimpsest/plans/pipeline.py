@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stage import materialize
 from ..operators.blocks import stitch
 from ..operators.detect import detect, entities
 from ..operators.identity import resolve_identities
@@ -34,14 +35,20 @@ class Redaction:
 
 
 def redact(docs: DataFrame, names: DataFrame | None = None, stitched: bool = True) -> Redaction:
-    """``names`` (value, type): a gazetteer in place of a model; with it, known names are propagated through their documents."""
+    """``names`` (value, type): a gazetteer in place of a model; with it, known names are propagated through their documents.
+
+    Detection, which several steps read, is written once to the shared folder, and once more when stitching or propagation changed it.
+    """
     found = detect(units(docs))
     if names is not None:
         found = gazetteer(found, names)
+    found = materialize(found, "detected")
     if stitched:
         found = stitch(found)
     if names is not None:
-        found = propagate(found)
+        found = propagate(materialize(found, "stitched") if stitched else found)
+    if stitched or names is not None:
+        found = materialize(found, "resolved")
     ents = resolve_identities(entities(found))
     ids = surrogates(ents)
     return Redaction(found, ents, ids, rewrite(found, ents, ids))

@@ -31,7 +31,7 @@ STRUCTURED = ("EMAIL", "CREDIT_CARD", "IP_ADDRESS", "PHONE")
 
 def structured(spark, sf_dir) -> DataFrame:
     """Entities of all rules over the documents."""
-    return detect.entities(detect.detect(all_units(spark, sf_dir)))
+    return detect.detected_entities(all_units(spark, sf_dir))
 
 
 def of_type(type_: str):
