@@ -35,11 +35,16 @@ class Redaction:
 
 
 def redact(docs: DataFrame, names: DataFrame | None = None, stitched: bool = True) -> Redaction:
+    """``redact_units`` of the non-blank lines of ``docs`` (doc_id, text)."""
+    return redact_units(units(docs), names, stitched)
+
+
+def redact_units(of: DataFrame, names: DataFrame | None = None, stitched: bool = True) -> Redaction:
     """``names`` (value, type): a gazetteer in place of a model; with it, known names are propagated through their documents.
 
     Detection, which several steps read, is written once to the shared folder, and once more when stitching or propagation changed it.
     """
-    found = detect(units(docs))
+    found = detect(of)
     if names is not None:
         found = gazetteer(found, names)
     found = materialize(found, "detected")
