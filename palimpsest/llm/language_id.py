@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pu_learning import fold
-from .spark_util import map_arrow, with_id
+from .spark_util import bounded_join, map_arrow, with_id
 from .text_kernels import BLOCK_BYTES, blocks, buffers
 
 HELD_OUT = (5, 0)
@@ -111,8 +111,12 @@ def train(docs: DataFrame, *, folds: tuple[int, int] | None = HELD_OUT, max_per_
     learn = with_id(docs, "doc_id").where("text is not null and lang is not null").select("doc_id", "lang")
     if folds:
         learn = learn.where(fold("doc_id", folds[0]) != folds[1])
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(31), "doc_id"), "doc_id")
-    ids = learn.withColumn("r", F.row_number().over(first)).where(F.col("r") <= max_per_lang).select("doc_id", "lang").distinct()
+    # the window sees about twice the rows wanted of a language, however many there are: those of the least hashes
+    learn = learn.withColumn("h", F.xxhash64(F.lit(31), "doc_id"))
+    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    least = bounded_join(learn, sizes, ["lang"], "inner", 64).where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n") < 2 * max_per_lang)
+    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = least.withColumn("r", F.row_number().over(first)).where(F.col("r") <= max_per_lang).select("doc_id", "lang").distinct()
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text")
 
     def run(batches):
