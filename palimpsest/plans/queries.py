@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import luhn_valid
 from ..operators import blocks, detect, surrogates
 from ..sources.units import spread, units
-from . import derived
+from . import cases, derived
 from .pipeline import redact
 
 
@@ -114,7 +114,7 @@ def redaction_summary(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (units_from_documents, units_nonblank_count, luhn_filter, spans_with_offsets, entity_counts_by_type, entity_counts_by_lang, entity_rollup, pii_by_label, docs_with_pii, docs_without_pii, top_docs_by_entities, surrogate_values, address_blocks, redacted_text, redaction_summary)
     out = {f"detect_{t.lower()}": of_type(t) for t in STRUCTURED}
-    return out | {f.__name__: f for f in own} | derived.queries()
+    return out | {f.__name__: f for f in own} | derived.queries() | cases.queries()
 
 
 def _marked(column: str, pattern: str, replacement: str) -> str:
@@ -167,7 +167,7 @@ def oracle_sql() -> dict[str, str]:
         f AS (SELECT doc_id, type, key, arg_min(text, (unit, -start)) AS first_seen, arg_min(unit, (unit, -start)) AS first_unit, arg_min(start, (unit, -start)) AS first_start FROM i GROUP BY ALL),
         s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY first_unit, first_start DESC) AS n FROM f),
         m AS (SELECT *, CASE type WHEN 'EMAIL' THEN 'user' || n || '@example.com' WHEN 'PHONE' THEN '+91 90' || lpad(n::varchar, 8, '0') WHEN 'CREDIT_CARD' THEN '4111-1111-1111-1111' ELSE '192.0.2.' || (n % 254 + 1) END AS fake FROM s)"""
-    return out | derived.oracle_sql() | {
+    return out | derived.oracle_sql() | cases.oracle_sql() | {
         "units_from_documents": f"WITH {UNITS} SELECT doc_id, unit, text FROM l",
         "units_nonblank_count": f"WITH {UNITS} SELECT doc_id, count(*) AS n_units FROM l GROUP BY doc_id",
         "luhn_filter": f"WITH {UNITS}, n AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[0-9]{{16}}\\b')) AS number FROM l) SELECT doc_id, number FROM n WHERE list_sum(list_transform(range(1, 17), lambda j: CASE WHEN j % 2 = 1 THEN CASE WHEN substr(number, j::int, 1)::int > 4 THEN substr(number, j::int, 1)::int * 2 - 9 ELSE substr(number, j::int, 1)::int * 2 END ELSE substr(number, j::int, 1)::int END)) % 10 = 0",
