@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import luhn_valid
-from ..operators import blocks, detect, surrogates
+from ..functions.sql import register
+from ..functions.stage import shared_folder
+from ..operators import blocks, detect, evaluate, surrogates
 from ..sources.units import spread, units
 from . import cases, derived
 from .pipeline import redact
@@ -98,6 +101,36 @@ def surrogate_values(spark, sf_dir):
     return ids.select("doc_id", "type", "key", "n", "first_seen", F.col("first_unit").cast("long").alias("first_unit"), F.col("first_start").cast("long").alias("first_start"), "fake")
 
 
+def mapping_report(spark, sf_dir):
+    """First spellings and their stand-ins, as the mapping file lists them."""
+    made = surrogates.mapping(surrogates.surrogates(structured(spark, sf_dir), link_emails=False))
+    return made.select("doc_id", F.explode("mapping").alias("label", "fake"))
+
+
+def report_markdown(spark, sf_dir):
+    return evaluate.report(derived.evaluation_metrics(spark, sf_dir))
+
+
+def sql_functions(spark, sf_dir):
+    """The documents' structured values found by the SQL functions of the session."""
+    register(spark)
+    table(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView("palimpsest_documents")
+    # SQL functions can't stand within a generator: arrays first, then rows
+    return spark.sql("""
+        WITH f AS (SELECT doc_id, pii_emails(text) AS mails, pii_cards(text) AS cards, pii_ip_addresses(text) AS ips FROM palimpsest_documents),
+        v AS (SELECT doc_id, 'EMAIL' AS type, explode(mails) AS v FROM f UNION ALL SELECT doc_id, 'CREDIT_CARD', explode(cards) FROM f UNION ALL SELECT doc_id, 'IP_ADDRESS', explode(ips) FROM f)
+        SELECT doc_id, type, CASE WHEN type = 'CREDIT_CARD' THEN pii_digits(v) ELSE pii_key(type, v) END AS value FROM v""")
+
+
+def stream_redact_folder(spark, sf_dir):
+    """The documents as a stream of files, rewritten as they arrive; what the stream wrote."""
+    from ..streaming.folder import incoming, redact_stream
+
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    redact_stream(incoming(spark, f"{sf_dir}/documents.parquet*"), f"{out}/redacted", f"{out}/progress").awaitTermination()
+    return spark.read.schema("doc_id long, unit int, text string, redacted string").parquet(f"{out}/redacted/batch=*").select("doc_id", F.col("unit").cast("long").alias("unit"), "redacted")
+
+
 def address_blocks(spark, sf_dir):
     made = blocks.blocks(detect.detect(all_units(spark, sf_dir)))
     return made.select("doc_id", F.get("members", F.lit(0))["unit"].cast("long").alias("first_unit"), F.size("members").cast("long").alias("n_units"))
@@ -112,7 +145,7 @@ def redaction_summary(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (units_from_documents, units_nonblank_count, luhn_filter, spans_with_offsets, entity_counts_by_type, entity_counts_by_lang, entity_rollup, pii_by_label, docs_with_pii, docs_without_pii, top_docs_by_entities, surrogate_values, address_blocks, redacted_text, redaction_summary)
+    own = (units_from_documents, units_nonblank_count, luhn_filter, spans_with_offsets, entity_counts_by_type, entity_counts_by_lang, entity_rollup, pii_by_label, docs_with_pii, docs_without_pii, top_docs_by_entities, surrogate_values, mapping_report, report_markdown, sql_functions, address_blocks, redacted_text, redaction_summary, stream_redact_folder)
     out = {f"detect_{t.lower()}": of_type(t) for t in STRUCTURED}
     return out | {f.__name__: f for f in own} | derived.queries() | cases.queries()
 
@@ -160,14 +193,14 @@ def _entities_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    e = _entities_sql()
+    e, digits = _entities_sql(), "regexp_replace(v, '[^0-9]', '', 'g')"
     out = {f"detect_{t.lower()}": f'WITH {UNITS} SELECT doc_id, unit, text, start, "end" FROM ({_spans_sql(t)})' for t in STRUCTURED}
     ordinal = """
         i AS (SELECT *, CASE WHEN type = 'PHONE' THEN regexp_replace(text, '[^0-9]', '', 'g') ELSE lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) END AS key FROM e),
         f AS (SELECT doc_id, type, key, arg_min(text, (unit, -start)) AS first_seen, arg_min(unit, (unit, -start)) AS first_unit, arg_min(start, (unit, -start)) AS first_start FROM i GROUP BY ALL),
         s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY first_unit, first_start DESC) AS n FROM f),
         m AS (SELECT *, CASE type WHEN 'EMAIL' THEN 'user' || n || '@example.com' WHEN 'PHONE' THEN '+91 90' || lpad(n::varchar, 8, '0') WHEN 'CREDIT_CARD' THEN '4111-1111-1111-1111' ELSE '192.0.2.' || (n % 254 + 1) END AS fake FROM s)"""
-    return out | derived.oracle_sql() | cases.oracle_sql() | {
+    out |= derived.oracle_sql() | cases.oracle_sql() | {
         "units_from_documents": f"WITH {UNITS} SELECT doc_id, unit, text FROM l",
         "units_nonblank_count": f"WITH {UNITS} SELECT doc_id, count(*) AS n_units FROM l GROUP BY doc_id",
         "luhn_filter": f"WITH {UNITS}, n AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[0-9]{{16}}\\b')) AS number FROM l) SELECT doc_id, number FROM n WHERE list_sum(list_transform(range(1, 17), lambda j: CASE WHEN j % 2 = 1 THEN CASE WHEN substr(number, j::int, 1)::int > 4 THEN substr(number, j::int, 1)::int * 2 - 9 ELSE substr(number, j::int, 1)::int * 2 END ELSE substr(number, j::int, 1)::int END)) % 10 = 0",
@@ -180,6 +213,17 @@ def oracle_sql() -> dict[str, str]:
         "docs_without_pii": f"{e} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM e)",
         "top_docs_by_entities": f"{e} SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id ORDER BY n DESC, doc_id LIMIT 20",
         "surrogate_values": f"{e}, {ordinal} SELECT doc_id, type, key, n, first_seen, first_unit, first_start, fake FROM m",
+        "mapping_report": f"{e}, {ordinal} SELECT doc_id, type || ':' || first_seen AS label, fake FROM m",
+        "report_markdown": f"""
+            WITH s AS ({derived.oracle_sql()["evaluation_metrics"]})
+            SELECT corpus, '| Type | Precision | Recall | F1 | Accuracy | TP | FP | FN |' || chr(10) || '|---|---|---|---|---|---|---|---|' || chr(10) ||
+                string_agg(printf('| %s | %.2f | %.2f | %.2f | %.2f | %d | %d | %d |', type, precision, recall, f1, accuracy, tp, fp, fn), chr(10) ORDER BY type = 'ALL', type) AS report FROM s GROUP BY corpus""",
+        "sql_functions": f"""
+            WITH v AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_PATTERNS["EMAIL"][0]}')) AS v, 'EMAIL' AS type FROM documents
+                UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '{_PATTERNS["CREDIT_CARD"][0]}')), 'CREDIT_CARD' FROM documents
+                UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '{_PATTERNS["IP_ADDRESS"][0]}')), 'IP_ADDRESS' FROM documents)
+            SELECT doc_id, type, CASE type WHEN 'EMAIL' THEN lower(v) WHEN 'IP_ADDRESS' THEN v ELSE {digits} END AS value FROM v
+            WHERE type <> 'CREDIT_CARD' OR (length({digits}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda j: CASE WHEN (length({digits}) - j) % 2 = 0 THEN substr({digits}, j::int, 1)::int WHEN substr({digits}, j::int, 1)::int > 4 THEN substr({digits}, j::int, 1)::int * 2 - 9 ELSE substr({digits}, j::int, 1)::int * 2 END)) % 10 = 0)""",
         "redacted_text": f"""{e}, {ordinal},
             c AS (SELECT doc_id, unit, list(struct_pack(s := start, t := "end", f := fake) ORDER BY start) AS cuts FROM i JOIN m USING (doc_id, type, key) GROUP BY doc_id, unit)
             SELECT doc_id, unit, CASE WHEN cuts IS NULL THEN text ELSE
@@ -190,3 +234,4 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, island ORDER BY unit) - 1) // 5 AS chunk FROM w WHERE ok)
             SELECT doc_id, min(unit) AS first_unit, count(*) AS n_units FROM r GROUP BY doc_id, island, chunk HAVING count(*) >= 2""",
     }
+    return out | {"stream_redact_folder": out["redacted_text"]}
