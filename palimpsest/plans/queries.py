@@ -213,6 +213,10 @@ def oracle_sql() -> dict[str, str]:
         "docs_without_pii": f"{e} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM e)",
         "top_docs_by_entities": f"{e} SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id ORDER BY n DESC, doc_id LIMIT 20",
         "surrogate_values": f"{e}, {ordinal} SELECT doc_id, type, key, n, first_seen, first_unit, first_start, fake FROM m",
+        "redaction_summary": f"""{e}, {ordinal},
+            n AS (SELECT doc_id, count(*) AS total FROM e GROUP BY doc_id), q AS (SELECT doc_id, count(*) AS kinds FROM m GROUP BY doc_id)
+            SELECT doc_id, count(*) AS text_units, coalesce(any_value(total), 0) AS total_entities, coalesce(any_value(kinds), 0) AS unique_entities
+            FROM l LEFT JOIN n USING (doc_id) LEFT JOIN q USING (doc_id) GROUP BY doc_id""",
         "mapping_report": f"{e}, {ordinal} SELECT doc_id, type || ':' || first_seen AS label, fake FROM m",
         "report_markdown": f"""
             WITH s AS ({derived.oracle_sql()["evaluation_metrics"]})
