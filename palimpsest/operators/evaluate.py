@@ -18,7 +18,7 @@ def dedupe(items: DataFrame) -> DataFrame:
 
 def in_scope(predictions: DataFrame, scope: DataFrame) -> DataFrame:
     """Predictions whose unit lies in the annotated range of their corpus, both ends included."""
-    return predictions.join(F.broadcast(scope), "corpus").where(F.col("unit").between(F.col("unit_start"), F.col("unit_end"))).drop("unit_start", "unit_end")
+    return predictions.join(scope, "corpus").where(F.col("unit").between(F.col("unit_start"), F.col("unit_end"))).drop("unit_start", "unit_end")
 
 
 def outcomes(predictions: DataFrame, annotations: DataFrame) -> DataFrame:
