@@ -97,13 +97,13 @@ def top_docs_by_entities(spark, sf_dir):
 
 
 def surrogate_values(spark, sf_dir):
-    ids = surrogates.surrogates(structured(spark, sf_dir), link_emails=False)
+    ids = redact(corpus(spark, sf_dir)).surrogates
     return ids.select("doc_id", "type", "key", "n", "first_seen", F.col("first_unit").cast("long").alias("first_unit"), F.col("first_start").cast("long").alias("first_start"), "fake")
 
 
 def mapping_report(spark, sf_dir):
     """First spellings and their stand-ins, as the mapping file lists them."""
-    made = surrogates.mapping(surrogates.surrogates(structured(spark, sf_dir), link_emails=False))
+    made = surrogates.mapping(redact(corpus(spark, sf_dir)).surrogates)
     return made.select("doc_id", F.explode("mapping").alias("label", "fake"))
 
 
@@ -137,7 +137,7 @@ def address_blocks(spark, sf_dir):
 
 
 def redacted_text(spark, sf_dir):
-    return redact(corpus(spark, sf_dir), stitched=False).redacted.select("doc_id", F.col("unit").cast("long").alias("unit"), "redacted")
+    return redact(corpus(spark, sf_dir)).redacted.select("doc_id", F.col("unit").cast("long").alias("unit"), "redacted")
 
 
 def redaction_summary(spark, sf_dir):
