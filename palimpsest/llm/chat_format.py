@@ -8,7 +8,7 @@ in numpy, and headers and contents are copied into one preallocated Arrow buffer
 A conversation is cut into chunks of ``CHUNK`` turn numbers, so that one of any length is spread over tasks; only digests over
 whole conversations read its chunks in order, one at a time.
 
-Defined cases: null texts and roles are empty; rows without ``conv_id`` are dropped; a null turn comes first; rows of equal turns
+Defined cases: null texts and roles are empty; bytes that are not UTF-8 are read as U+FFFD; rows without ``conv_id`` are dropped; a null turn comes first; rows of equal turns
 stand in order of role and text; repeated rows are turns of their own; an empty table gives no conversations; further columns are ignored.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_util import map_arrow, with_id
-from .text_kernels import buffers
+from .text_kernels import buffers, valid_text
 
 #: Fixed values of the template.
 HEADER, ROLE_END, TURN_END, ESCAPE = b"### ", b"\n", b"</turn>\n", b"\\"
@@ -108,7 +108,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
             new = np.ones(n, bool)
             new[1:] = (conv[1:] != conv[:-1]) | (chunk[1:] != chunk[:-1])
             first = np.flatnonzero(new)
-            formatted, spans = assemble(b.column(3), b.column(4), np.append(first, n))
+            formatted, spans = assemble(valid_text(b.column(3)), valid_text(b.column(4)), np.append(first, n))
             number = np.zeros(len(first), np.int64)
             if (conv[0], chunk[0]) == last:
                 number[0] = part + 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .text_kernels import NOT_SPACE, blocks, buffers, hash_spans, mix, runs, sums, within
+from .text_kernels import NOT_SPACE, blocks, buffers, distinct, mix, runs, shingle_hashes, shingles, sums, within
 
 #: Characters that count as symbols, and those that mark code or markup.
 SYMBOLS = "#*$%&|<>"
@@ -48,44 +48,33 @@ def block_stats(buf: np.ndarray, off: np.ndarray, window: int = 8) -> tuple[np.n
     nw = np.diff(w_off)
     chars = np.concatenate([[0], np.cumsum(_CHAR[buf] & in_word)])
     wlen = chars[end] - chars[start]
-    h = hash_spans(buf, start, end)
+    ids, _ = distinct(buf, start, end)
     base[:, 0] = nw
     base[:, 1] = chars[off[1:]] - chars[off[:-1]]
     count = lambda table: sums(table[buf], off)
     base[:, 2] = count(_SYMBOL)
 
-    # lines with a word, keyed by all their bytes: equal to an earlier one of the document
+    # lines with a word, told apart by all their bytes: equal to an earlier one of the document
     l_start, l_end = _lines(buf, off)
     l_doc = within(l_start, off)
     has_word = np.searchsorted(start, l_end) > np.searchsorted(start, l_start)
     l_start, l_end, l_doc = l_start[has_word], l_end[has_word], l_doc[has_word]
-    lh = hash_spans(buf, l_start, l_end)
+    line_id, _ = distinct(buf, l_start, l_end)
     l_off = np.searchsorted(l_doc, np.arange(n + 1))
-    # hashes of all windows of the block
-    nwin = np.maximum(nw - window + 1, 0)
-    win_off = np.concatenate([[0], np.cumsum(nwin)])
-    at = np.repeat(w_off[:-1] - win_off[:-1], nwin) + np.arange(win_off[-1])
-    win = h[at].copy()
-    for j in range(1, window):
-        win = win * _U(0xD6E8FEB86659FD93) + h[at + j]
-    win = mix(win)
-    distinct = np.zeros(n)
+    # hashes of all windows of the block: only documents in which two agree are looked at by their words
+    win = shingle_hashes(mix(ids.astype(_U)), w_off, window)
+    win_off = np.concatenate([[0], np.cumsum(np.maximum(nw - window + 1, 0))])
+    n_distinct = np.zeros(n)
     for d in range(n):
         a, b = l_off[d], l_off[d + 1]
         if b - a > 1:
-            base[d, 3] = b - a - len(np.unique(lh[a:b]))
+            base[d, 3] = b - a - len(np.unique(line_id[a:b]))
+        mine = ids[w_off[d] : w_off[d + 1]]
         if nw[d]:
-            distinct[d] = len(np.unique(h[w_off[d] : w_off[d + 1]]))
-        a, b = win_off[d], win_off[d + 1]
-        if b - a > 1:
-            s = np.sort(win[a:b])
-            twice = s[1:][s[1:] == s[:-1]]
-            if len(twice):
-                first = np.flatnonzero(np.isin(win[a:b], twice))
-                cover = np.zeros(nw[d] + 1, np.int64)
-                cover[first] += 1
-                np.subtract.at(cover, first + window, 1)
-                base[d, 4] = np.count_nonzero(np.cumsum(cover[:-1]) > 0)
+            n_distinct[d] = len(np.unique(mine))
+        s = np.sort(win[win_off[d] : win_off[d + 1]])
+        if (s[1:] == s[:-1]).any():
+            base[d, 4] = _repeated(mine, window)
 
     w = np.maximum(nw, 1)
     c = np.maximum(base[:, 1], 1)
@@ -101,7 +90,7 @@ def block_stats(buf: np.ndarray, off: np.ndarray, window: int = 8) -> tuple[np.n
     feats[:, 8] = count(_table("|")) / w
     feats[:, 9] = count(_CODE) / c
     feats[:, 10] = count(_PUNCT) / w
-    feats[:, 11] = distinct / w**0.75
+    feats[:, 11] = n_distinct / w**0.75
     feats[:, 12] = nw / nl
     if len(l_end):
         last = np.searchsorted(end, l_end, "right") - 1  # the last word that ends in the line
@@ -110,8 +99,8 @@ def block_stats(buf: np.ndarray, off: np.ndarray, window: int = 8) -> tuple[np.n
     if len(start):
         full = nw > 0
         feats[full, 15] = np.log1p(np.maximum.reduceat(wlen, w_off[:-1][full]))
-        same = np.zeros(len(h), bool)
-        same[1:] = h[1:] == h[:-1]
+        same = np.zeros(len(ids), bool)
+        same[1:] = ids[1:] == ids[:-1]
         same[w_off[:-1][full]] = False
         feats[:, 17] = sums(same, w_off) / w
         feats[:, 18] = sums(_UPPER[buf[start]], w_off) / w
@@ -121,6 +110,17 @@ def block_stats(buf: np.ndarray, off: np.ndarray, window: int = 8) -> tuple[np.n
     return base, feats
 
 
+def _repeated(ids: np.ndarray, window: int) -> int:
+    """Words of a document that stand in a window found twice or more."""
+    code, _ = shingles(ids, np.array([0, len(ids)]), window)
+    _, at, many = np.unique(code, return_inverse=True, return_counts=True)
+    first = np.flatnonzero(many[at] > 1)
+    cover = np.zeros(len(ids) + 1, np.int64)
+    cover[first] += 1
+    cover[first + window] -= 1
+    return int(np.count_nonzero(np.cumsum(cover[:-1]) > 0))
+
+
 def _lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs(buf != 10, off)
 

@@ -2,10 +2,10 @@
 
 For every byte prefix of a piece the encoding ends in exactly one token. It is the token ending there that may follow
 the last token of the prefix before it: the pair is stable when encoding their joined bytes gives the two tokens again.
-So one table (last token by prefix) holds the encodings of all prefixes: appending bytes extends it, and an edit keeps the
-part before the edit. Text is cut into pieces by the published pattern, each piece encoded alone.
+So one table (last token by prefix) holds the encodings of all prefixes: appending bytes extends it, and after an edit only the
+entries near it are made again. Text is cut into pieces by the published pattern, each piece encoded alone.
 
-Defined cases: null and empty texts have no ids; repeated rows agree; rows without id are dropped; further columns are ignored;
+Defined cases: null and empty texts have no ids; bytes that are not UTF-8 are read as U+FFFD; repeated rows agree; rows without id are dropped; further columns are ignored;
 pieces of any length take time in proportion to their bytes times the longest token.
 """
 
@@ -20,12 +20,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .spark_util import map_arrow, with_id
-from .text_kernels import blocks, buffers, hash_spans
+from .text_kernels import blocks, buffers, distinct, valid_text
 
-#: Pieces whose ids a worker remembers; beyond it the memory starts anew.
-CACHE_PIECES = 600_000
+#: Bytes of pieces and their ids that a worker remembers, and pairs of tokens it has tried; beyond that the memory starts anew.
+CACHE_BYTES = 64 << 20
+CACHE_PAIRS = 2_000_000
 
 
 class PrefixBPE:
@@ -81,11 +84,11 @@ class PrefixBPE:
         Undo merges from the last one on: whichever of the two facing tokens was made later is split, and its facing
         half must not have merged across the border before that point.
         """
-        key = left << 20 | right
+        key = left * len(self.token) + right
         known = self._stable.get(key)
         if known is None:
             known = self._check(left, right)
-            if len(self._stable) > 2_000_000:
+            if len(self._stable) > CACHE_PAIRS:
                 self._stable.clear()
             self._stable[key] = known
         return known
@@ -104,13 +107,13 @@ class PrefixBPE:
                 limit, a = a, halves[a][1]
             else:
                 # equal ranks: the left one merges first, so the border still faces the whole left token
-                limit, b = b + 1 if not single_a and a == b else b + 1, halves[b][0]
+                limit, b = b + 1, halves[b][0]
 
-    def last_tokens(self, data: bytes, table: list[int] | None = None) -> list[int]:
-        """``table[i]``: the last token of the encoding of ``data[:i]`` (i from 1); a given table of a prefix is extended."""
+    def last_tokens(self, data: bytes, table: list[int] | None = None, upto: int | None = None) -> list[int]:
+        """``table[i]``: the last token of the encoding of ``data[:i]`` (i from 1); a given table of a prefix is extended up to ``upto``."""
         last = table if table is not None else [-1]
-        step, token_at, known, stable = self.step.get, self.token_at, self._stable.get, self.stable
-        for i in range(len(last), len(data) + 1):
+        step, token_at, known, stable, base = self.step.get, self.token_at, self._stable.get, self.stable, len(self.token)
+        for i in range(len(last), (len(data) if upto is None else upto) + 1):
             state, j, found = 0, i, []
             while j:
                 state = step(state << 8 | data[j - 1], -1)
@@ -122,7 +125,7 @@ class PrefixBPE:
             for t, j in reversed(found):  # the longest first; just one is stable
                 if not j:
                     break
-                ok = known(last[j] << 20 | t)
+                ok = known(last[j] * base + t)
                 if ok or (ok is None and stable(last[j], t)):
                     break
             last.append(t)
@@ -158,10 +161,20 @@ class PrefixTable:
         self.bpe.last_tokens(self.data, self.last)
 
     def replace(self, start: int, end: int, new: bytes) -> None:
-        """Put ``new`` for ``data[start:end]``; the table before ``start`` stays."""
-        del self.last[start + 1 :]
+        """Put ``new`` for ``data[start:end]`` and encode again near the edit only.
+
+        The table before ``start`` stays. An entry rests on the bytes and entries of one longest token before it, so
+        once that many entries behind the edit are what they were, all that follow are too.
+        """
+        was, moved, reach = self.last, len(new) - (end - start), self.bpe.longest
+        self.last = was[: start + 1]
         self.data = self.data[:start] + new + self.data[end:]
-        self.bpe.last_tokens(self.data, self.last)
+        n, clean = len(self.data), start + len(new) + reach
+        while (i := len(self.last) - 1) < n:
+            if i >= clean and self.last[i - reach + 1 :] == was[i - reach + 1 - moved : i + 1 - moved]:
+                self.last += was[i + 1 - moved :]
+                break
+            self.bpe.last_tokens(self.data, self.last, min(n, max(clean, i + reach)))
 
     def ids(self, upto: int | None = None) -> list[int]:
         return self.bpe.trace(self.data[:upto], self.last)
@@ -233,8 +246,8 @@ def piece_starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 class TextCodec:
     """Blocks of whole texts to ids and back; each distinct piece is encoded once, in byte order, so that prefixes are shared."""
 
-    def __init__(self, bpe: PrefixBPE, cache: int = CACHE_PIECES):
-        self.bpe, self.most = bpe, cache
+    def __init__(self, bpe: PrefixBPE, cache: int = CACHE_BYTES):
+        self.bpe, self.most, self.held = bpe, cache, 0
         self.seen: dict[bytes, bytes] = {}
         self.size = np.array([len(t) for t in bpe.token], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.size)])[:-1]
@@ -263,12 +276,14 @@ class TextCodec:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         end = np.append(start[1:], len(buf))
-        _, index, inverse = np.unique(hash_spans(buf, start, end), return_index=True, return_inverse=True)
-        data = buf.tobytes()
-        pieces = [data[a:b] for a, b in zip(start[index].tolist(), end[index].tolist(), strict=True)]
-        if len(self.seen) > self.most:
+        inverse, known = distinct(buf, start, end)
+        pieces = known.to_pylist()
+        if self.held > self.most:
             self.seen.clear()
-        self.learn([p for p in pieces if p not in self.seen])
+            self.held = 0
+        new = [p for p in pieces if p not in self.seen]
+        self.learn(new)
+        self.held += sum(len(p) + len(self.seen[p]) for p in new) + 200 * len(new)
         packed = [self.seen[p] for p in pieces]
         many = np.array([len(p) // 4 for p in packed], np.int64)
         ids = self._spread(np.frombuffer(b"".join(packed), "<u4"), np.concatenate([[0], np.cumsum(many)])[:-1][inverse], many[inverse])
@@ -289,13 +304,19 @@ class TextCodec:
 _CODECS: dict[str, TextCodec] = {}
 
 
-def encode_texts(docs: DataFrame, ranks: bytes, keep_ids: bool = False) -> DataFrame:
+MADE = ("n_tokens", "ids_sha256", "decoded_sha256", "ids")
+
+
+def encode_texts(docs: DataFrame, ranks: bytes, keep_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids`` where asked for) of every whole text; no shuffle.
 
     ``ranks`` are the contents of the rank file: its size is that of a vocabulary, so it goes to the workers by broadcast.
+    ``keep``: columns of ``docs`` that go along, but for those named like a result.
     """
     known = docs.sparkSession.sparkContext.broadcast(ranks)
     name = hashlib.sha256(ranks).hexdigest()
+    keep = [c for c in keep if c != "doc_id" and c not in MADE]
+    made = MADE if keep_ids else MADE[:3]
 
     def run(batches):
         codec = _CODECS.get(name)
@@ -303,16 +324,25 @@ def encode_texts(docs: DataFrame, ranks: bytes, keep_ids: bool = False) -> DataF
             codec = _CODECS[name] = TextCodec(from_ranks(known.value))
         for b in batches:
             n, sha, back, kept = [], [], [], []
-            buf, off = buffers(b.column(1))
+            buf, off = buffers(valid_text(b.column(1)))
             for _, _, bb, oo in blocks(buf, off):
                 ids, at = codec.encode_block(bb, oo)
-                for i in range(len(oo) - 1):
-                    mine = ids[at[i] : at[i + 1]]
-                    n.append(len(mine))
-                    sha.append(hashlib.sha256(mine.astype("<u4").tobytes()).hexdigest())
-                    back.append(hashlib.sha256(codec.decode(mine)).hexdigest())
-                    if keep_ids:
-                        kept.append(mine.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string()), *([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else [])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])])
-
-    return map_arrow(with_id(docs, "doc_id").select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+                n.append(np.diff(at))
+                data = ids.astype("<u4").tobytes()
+                if keep_ids:
+                    kept.append(ids.astype(np.int32))
+                for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    sha.append(hashlib.sha256(data[4 * lo : 4 * hi]).hexdigest())
+                    back.append(hashlib.sha256(codec.decode(ids[lo:hi])).hexdigest())
+            many = np.concatenate(n) if n else np.zeros(0, np.int64)
+            out = [b.column(0), *b.columns[2:], pa.array(many), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+            if keep_ids:
+                flat = pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int32))
+                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), flat))
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", *keep, *made])
+
+    kinds = {f.name: f.dataType for f in docs.schema}
+    types = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType())}
+    schema = T.StructType([T.StructField("doc_id", kinds["doc_id"]), *(T.StructField(c, kinds[c]) for c in keep), *(T.StructField(c, types.get(c, T.StringType())) for c in made)])
+    rows = with_id(docs, "doc_id").select("doc_id", F.col("text").alias("_read"), *(F.col(f"`{c}`") for c in keep))
+    return map_arrow(rows, run, schema)

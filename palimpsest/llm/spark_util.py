@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,15 +18,17 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 #: Largest table, in bytes of its rows, that is broadcast; beyond it a shuffled join is used.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that the cluster shares: ``spark.checkpoint.dir``; a temporary one where it is unset and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -37,8 +41,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage ends there and lost executors don't matter."""
     path = scratch_path(df.sparkSession, name)
+    if _OPEN:
+        _OPEN[-1].append((df.sparkSession, path))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+#: The tables that the innermost ``discarding`` blocks have written.
+_OPEN: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def discarding():
+    """Delete the tables that are materialized inside when the block ends, but for those given to ``keep``.
+
+    A kept table belongs to the block around this one, or to the cluster where there is none.
+    """
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._scratch)
+        return df
+
+    _OPEN.append([])
+    try:
+        yield keep
+    finally:
+        for spark, path in _OPEN.pop():
+            if path not in kept:
+                remove(spark, path)
+            elif _OPEN:
+                _OPEN[-1].append((spark, path))
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -70,7 +105,7 @@ def ship(spark: SparkSession) -> None:
     sc._palimpsest_shipped = True
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with bounded batches, on workers that have this package."""
     ship(df.sparkSession)
     bound_batches(df.sparkSession)
@@ -95,16 +130,17 @@ def bounded_join(left: DataFrame, right: DataFrame, on: list[str], how: str, row
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): ``node, component`` with the smallest node of each component.
 
-    Alternates star contractions (larger neighbours, then smaller ones, go to the smallest neighbour); each round
-    is two aggregations and two joins on node ids, written to the shared folder, until the edges no longer change.
-    No adjacency list is gathered, so a node with any number of links costs one row a link.
+    Alternates star contractions (larger neighbours, then smaller ones, go to the smallest neighbour); each round is
+    written to the shared folder, until the edges no longer change. No adjacency list is gathered: a node's least neighbour is a
+    partial aggregate, and the edges meet it by broadcast within the bound, else in a join of two plain exchanges, whose hot keys
+    Spark splits.
     """
-    spark = edges.sparkSession
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, n: int, large: bool) -> DataFrame:
         """Large: every greater neighbour of u goes to the least of u and its neighbours; small: every lesser one."""
         around = e if not large else e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        least = F.broadcast(least) if 2 * n * 16 <= BROADCAST_BYTES else materialize(least, f"{name}-least")
         joined = around.join(least, "a")
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -112,15 +148,17 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    size = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s"))
-    was = None
-    for _ in range(max_rounds):
-        is_ = tuple(now.select(size.alias("x")).first().x)
-        if is_ == was or is_[0] == 0:
-            break
-        was = is_
-        now = materialize(star(star(now, True), False), name)
-    else:
-        raise RuntimeError("components did not settle")
+    with discarding() as keep:
+        now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+        size = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s"))
+        was = None
+        for _ in range(max_rounds):
+            is_ = tuple(now.select(size.alias("x")).first().x)
+            if is_ == was or is_[0] == 0:
+                break
+            was = is_
+            now = materialize(star(star(now, is_[0], True), is_[0], False), name)
+        else:
+            raise RuntimeError("components did not settle")
+        keep(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,16 +1,17 @@
-"""Vectorised text kernels over Arrow string buffers: words, 64-bit word hashes, shingles, per-document sums.
+"""Vectorised text kernels over Arrow string buffers: words, exact word ids, shingles, per-document sums.
 
-All work on UTF-8 bytes. A block holds consecutive whole documents; a document is never cut.
+All work on UTF-8 bytes. A block holds consecutive whole documents; a document is never cut. Whether words, lines or pieces are
+equal is decided by Arrow's dictionary encoding, which compares bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that one block holds at most, but for a single longer document.
 BLOCK_BYTES = 4 << 20
@@ -38,30 +39,6 @@ ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 #: The same after lower-casing, so that A-Z count too.
 ALNUM_ANY = ALNUM[LOWER]
-_BYTE = splitmix(256, 0x5EED)
-_BYTE_LOWER = _BYTE[LOWER]
-_P = 0x9E3779B97F4A7C55 | 1
-_P_INV = pow(_P, -1, 1 << 64)
-
-
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_P, _P_INV):
-        p = np.full(n + 1, base, _U)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = BLOCK_BYTES
-    while size < n:
-        size *= 2
-    if size > BLOCK_BYTES:
-        p, q = (np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(n, b, _U)])) for b in (_P, _P_INV))
-        return p, q
-    return _powers(size)
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,38 +89,75 @@ def words(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.nda
     return start, end, np.searchsorted(start, off)
 
 
-def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of byte spans; equal spans have equal hashes, wherever they stand."""
-    p, q = powers(len(buf))
-    total = np.zeros(len(buf) + 1, _U)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[buf] * p[: len(buf)], out=total[1:])
-    return mix((total[end] - total[start]) * q[start] + (end - start).astype(_U))
+def span_bytes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> pa.Array:
+    """The bytes of disjoint ascending spans as one Arrow column; with ``lower`` A-Z are lower-cased."""
+    size = end - start
+    off = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(size, out=off[1:])
+    if not len(start):
+        data = np.zeros(0, np.uint8)
+    elif off[-1] == end[-1] - start[0]:
+        data = buf[start[0] : end[-1]]
+    else:
+        step = np.zeros(len(buf) + 1, np.int8)
+        np.add.at(step, start, 1)
+        np.subtract.at(step, end, 1)
+        data = buf[np.cumsum(step[:-1], dtype=np.int8) > 0]
+    data = np.ascontiguousarray(LOWER[data] if lower else data)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(off), pa.py_buffer(data)])
+
 
+def distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
+    """An id for every span and the distinct spans by id: two spans have one id exactly if all their bytes are equal."""
+    coded = span_bytes(buf, start, end, lower).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
-def shingles(h: np.ndarray, word_off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all k-word shingles and the offset of each document's first; shorter documents give one for all their words."""
+
+def hashes(spans: pa.Array) -> np.ndarray:
+    """64-bit hashes of byte strings. They only propose: whatever rests on equality is decided on ids of ``distinct``."""
+    buf, off = buffers(spans)
+    data, off = buf.tobytes(), off.tolist()
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)), _U, len(spans))
+
+
+def shingles(ids: np.ndarray, word_off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exact codes of all k-word shingles of word ids, and the offset of each document's first.
+
+    Equal codes stand for equal words. A document of fewer than ``k`` words has no codes here.
+    """
     n = np.diff(word_off)
-    count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    count = np.maximum(n - k + 1, 0)
     s_off = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
-    doc = np.repeat(np.arange(len(n)), count)
-    at = word_off[:-1][doc] + (np.arange(s_off[-1]) - s_off[:-1][doc])
-    full = n[doc] >= k
-    out = np.zeros(s_off[-1], _U)
-    q = _U(0xD6E8FEB86659FD93)
-    some = at[full]
-    x = h[some].copy() if len(some) else np.zeros(0, _U)
+    at = np.repeat(word_off[:-1] - s_off[:-1], count) + np.arange(s_off[-1])
+    base = int(ids.max()) + 1 if len(ids) else 1
+    code, top = ids[at], base
+    for j in range(1, k):
+        if top > (1 << 62) // base:
+            known, code = np.unique(code, return_inverse=True)
+            top = len(known)
+        code, top = code * base + ids[at + j], top * base
+    return code, s_off
+
+
+def shingle_hashes(h: np.ndarray, word_off: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the same shingles from the hashes of their words, in the order of ``shingles``."""
+    count = np.maximum(np.diff(word_off) - k + 1, 0)
+    first = np.concatenate([[0], np.cumsum(count)])
+    at = np.repeat(word_off[:-1] - first[:-1], count) + np.arange(first[-1])
+    out = h[at]
     for j in range(1, k):
-        x = mix(x * q + h[some + j])
-    out[full] = x
-    for i in np.flatnonzero(~full):
-        d = doc[i]
-        x = _U(0)
-        with np.errstate(over="ignore"):
-            x = h[word_off[d]]
-            for j in range(int(word_off[d]) + 1, int(word_off[d + 1])):
-                x = mix(np.array([x * q + h[j]], _U))[0]
-            out[i] = x ^ _U(n[d] * 0x51ED27)
-    return out, s_off
+        out = mix(out * _U(0xD6E8FEB86659FD93) + h[at + j])
+    return out
+
+
+def valid_text(col: pa.Array) -> pa.Array:
+    """A string column whose bytes are all UTF-8: in rows that are not, bad bytes become U+FFFD."""
+    buf, _ = buffers(col)
+    try:
+        buf.tobytes().decode()
+        return col
+    except UnicodeDecodeError:
+        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in col.cast(pa.large_binary()).to_pylist()], pa.large_string())
 
 
 def sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -17,12 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pu_learning import LinearPU, calibrate, fit_nnpu, fold, sample_ids, sigmoid
 from .spark_util import map_arrow, materialize, with_id
-from .text_kernels import ALNUM_ANY, blocks, buffers, hash_spans, words
+from .text_kernels import ALNUM_ANY, blocks, buffers, distinct, hashes, words
 
 HELD_OUT = (4, 2)
 MAX_POSITIVE = 3000
@@ -39,11 +40,11 @@ HASH_BITS = 22
 def hashed_words(buf: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Per view (whole words, then each prefix length) the hash of every word, and each document's first word."""
     start, end, w_off = words(buf, off, ALNUM_ANY)
+    ids, known = distinct(buf, start, end, lower=True)
     shift = np.uint64(64 - HASH_BITS)
-    out = [hash_spans(buf, start, end, lower=True) >> shift]
+    out = [(hashes(known) >> shift)[ids]]
     for n in PREFIXES:
-        cut = np.minimum(end, start + n)
-        out.append((hash_spans(buf, start, cut, lower=True) ^ np.uint64(n * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> shift)
+        out.append(((hashes(pc.binary_slice(known, 0, n)) ^ np.uint64(n * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> shift)[ids])
     return out, w_off
 
 

@@ -7,7 +7,7 @@ import pytest
 
 from palimpsest.llm import chat_format, decontamination, language_id, line_dedup, near_dup, prefix_bpe, quality_classifier, quality_rules, toxicity, warc
 from palimpsest.llm.queries import rank_bytes
-from palimpsest.llm.spark_util import components, scratch_path
+from palimpsest.llm.spark_util import components, scratch_path, shared_dir
 
 LONG = "many words of a very long text " * 20000
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _host string, score double, rep long"
@@ -132,6 +132,71 @@ def test_near_dup_large_cluster(spark):
     assert {r.component_id for r in got} == {0} and len(got) == 600
 
 
+def test_near_dup_repeated_ids(spark):
+    """Of an id's texts the one with most distinct shingles counts, and only that one links."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(20))
+    rows = [(5, a), (5, b), (5, b), (9, b), (3, a + " more"), (4, "short one"), (4, None), (8, "Short  ONE")]
+    got = {r.doc_id: r.component_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string"), near_dup.NearDup(shingle=5)).collect()}
+    assert got == {5: 3, 9: 9, 3: 3, 4: 4, 8: 4}
+
+
+@pytest.mark.parametrize("job_bytes", [8 << 20, 2000])
+def test_near_dup_templates(spark, job_bytes):
+    """Pages of one template, none alike, with planted copies: one cluster, in one job and beyond one."""
+    rng = np.random.default_rng(6)
+    page = [f"w{i}" for i in range(80)]
+    own = [[f"u{x}" for x in rng.integers(0, 10**9, 20)] for _ in range(400)]
+    rows = [(i, " ".join(page + w)) for i, w in enumerate(own)]
+    rows += [(1000 + i, " ".join(page + own[i][:-1] + ["edited"])) for i in range(0, 400, 10)]
+    got = {r.doc_id: r.component_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string"), near_dup.NearDup(shingle=2, job_bytes=job_bytes)).collect()}
+    assert got == {d: d % 1000 for d, _ in rows}
+
+
+def test_links_compare_few(monkeypatch):
+    """The sets compared grow with the documents, not with their square; and no link is lost against all pairs."""
+    import pyarrow as pa
+
+    rng, tried = np.random.default_rng(8), []
+    plain = near_dup.ShingleSets.alike
+    monkeypatch.setattr(near_dup.ShingleSets, "alike", lambda self, one, others, percent: (tried.append(len(others)), plain(self, one, others, percent))[1])
+    page = [f"w{i}" for i in range(80)]
+    for n in (500, 2000):
+        tried.clear()
+        texts = pa.array([" ".join(page + [f"u{x}" for x in rng.integers(0, 10**9, 20)]) for _ in range(n)])
+        assert not near_dup.links(np.arange(n), texts, near_dup.NearDup(shingle=2))
+        assert sum(tried) <= near_dup.PIVOTS * n
+    # pairs around the bound, of differing lengths
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for _ in range(150):
+        w = list(base[: rng.integers(60, 120)])
+        for at in rng.integers(0, len(w), rng.integers(0, 8)):
+            w[at] = f"x{rng.integers(0, 50)}"
+        texts.append(" ".join(w))
+    sets = [set(zip(t.split(), t.split()[1:])) for t in texts]
+    root = list(range(150))
+    for a in range(150):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    mine = list(range(150))
+    for a, b in near_dup.links(np.arange(150), pa.array(texts), near_dup.NearDup(shingle=2)):
+        x, y = mine[a], mine[b]
+        mine = [min(x, y) if r in (x, y) else r for r in mine]
+    assert mine == root
+
+
+def test_scratch_is_removed(spark):
+    """What near-dedup writes on the way is gone when it returns; its result stays."""
+    import os
+
+    folder = shared_dir(spark).removeprefix("file://")
+    was = set(os.listdir(folder))
+    out = near_dup.classes(spark.createDataFrame([(1, "a b c"), (2, "a b c d")], "doc_id long, text string"), near_dup.NearDup(shingle=2))
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - was] == ["near"] and out.count() == 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1400)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
@@ -152,10 +217,106 @@ def test_bpe(spark, odd, none):
     assert all(bpe.decode(table.ids(i)) == table.data[:i] for i in range(len(table.data) + 1))
 
 
+def test_edit_keeps_the_rest():
+    """Entries far behind an edit are taken over, not made again."""
+    bpe = prefix_bpe.from_ranks(rank_bytes())
+    data = ("unbelievable things happen " * 400).replace(" ", "_").encode()
+    rng = np.random.default_rng(2)
+    for at, size, new in ((0, 0, b"x"), (5, 3, b""), (5000, 7, b"abcdefghij"), (len(data), 0, b"end"), (len(data) - 2, 2, b""), (300, 5000, b"_")):
+        table, asked = prefix_bpe.PrefixTable(bpe, data), []
+        plain = bpe.last_tokens
+        bpe.last_tokens = lambda d, t, upto=None: (asked.append((upto or len(d)) - len(t)), plain(d, t, upto))[1]
+        table.replace(at, at + size, new)
+        bpe.last_tokens = plain
+        assert table.last == bpe.last_tokens(data[:at] + new + data[at + size :])
+        assert sum(asked) < 8 * bpe.longest + len(new)
+    data = bytes(rng.integers(97, 100, 600).astype(np.uint8))
+    for _ in range(40):
+        at, size = sorted(rng.integers(0, len(data), 2))
+        table = prefix_bpe.PrefixTable(bpe, data)
+        table.replace(int(at), int(size), b"cab")
+        assert table.last == bpe.last_tokens(table.data)
+
+
+def test_bad_bytes(spark):
+    """A string column may hold bytes that are not UTF-8."""
+    df = spark.sql("select 1L doc_id, cast(x'61ff62' as string) text union all select 2L, 'ok'")
+    got = {r.doc_id: r for r in prefix_bpe.encode_texts(df, rank_bytes()).collect()}
+    assert got[1].decoded_sha256 == hashlib.sha256("a\ufffdb".encode()).hexdigest() and got[2].decoded_sha256 == hashlib.sha256(b"ok").hexdigest()
+    turns = spark.sql("select 1L conv_id, 0L turn, cast(x'ff' as string) role, cast(x'61ff62' as string) text")
+    assert chat_format.read_back(chat_format.format_conversations(turns)).first().turns_sha256 == hashlib.sha256("\ufffd\na\ufffdb\n".encode()).hexdigest()
+
+
+def test_carried_columns(odd):
+    out = prefix_bpe.encode_texts(odd.withColumnRenamed("rep", "ids"), rank_bytes(), keep_ids=True, keep=("doc_id", "text", "lang", "ids"))
+    assert out.columns == ["doc_id", "text", "lang", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert all(len(r.ids) == r.n_tokens and hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest() == r.ids_sha256 for r in out.collect())
+
+
+def longest_matches(words, items, window):
+    """(document, item, first word, length) by trying every place."""
+    out = []
+    for d, w in words.items():
+        for i, t in items.items():
+            m = min(window, len(t))
+            for p in range(len(w)):
+                for q in range(len(t) - m + 1) if m else ():
+                    n = 0
+                    while p + n < len(w) and q + n < len(t) and w[p + n] == t[q + n]:
+                        n += 1
+                    if n >= m:
+                        out.append((d, i, p, n))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("window", [1, 3, 7, 10])
+def test_matches_brute_force(spark, window):
+    rng = np.random.default_rng(window)
+    items = {i: [f"w{x}" for x in rng.integers(0, 3, rng.integers(0, 14))] for i in range(12)}
+    words = {d: [f"w{x}" for x in rng.integers(0, 4, rng.integers(0, 60))] for d in range(15)}
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in words.items()], "doc_id long, text string")
+    test = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    want = longest_matches(words, items, window)
+    assert sorted(map(tuple, decontamination.find_matches(docs, test, window).select("doc_id", "item_id", "word", "n_words").collect())) == want
+    for block_bytes in (1 << 20, 30):  # one and several blocks of test items
+        got = {r.doc_id: r for r in decontamination.annotate(docs, test, window, block_bytes).collect()}
+        for d, w in words.items():
+            mine = [x for x in want if x[0] == d]
+            assert got[d].n_words == len(w) and got[d].item_ids == sorted({x[1] for x in mine})
+            assert got[d].n_hit == len({k for x in mine for k in range(x[2], x[2] + x[3])})
+
+
+def test_large_test_set(spark):
+    """A hundred times the items cost little more a shard: the work is a few sorted lookups, not one search an item."""
+    import time
+
+    rng = np.random.default_rng(4)
+    word = np.array([f"w{i}" for i in range(20000)])
+    import pyarrow as pa
+
+    text = " ".join(word[rng.integers(0, 20000, 400_000)]).encode()
+    took = []
+    for n in (400, 40_000):
+        items = pa.array([" ".join(word[rng.integers(0, 20000, 60)]) for _ in range(n)])
+        test = decontamination.TestSet.build(np.arange(n), items, 10)
+        buf = np.frombuffer(text, np.uint8)
+        began = time.process_time()
+        for _ in range(3):
+            shard = decontamination.Shard.of(test, buf, np.array([0, len(buf)]))
+            shard.hit_words(), shard.items(test)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
+
+
 def test_suffix_array():
-    ids = np.array([1, 2, 1, 2, 0, 3, 1, 2, 2])
-    run = np.array([4, 3, 2, 1, 0, 4, 3, 2, 1])
-    sa = decontamination.suffix_array(ids, run, 1)
-    keys = [tuple(ids[p : p + run[p]]) for p in sa]
-    assert keys == sorted(keys)
-    assert sorted(decontamination.suffix_array(ids, run, 3).tolist()) == [0, 1, 5, 6]
+    items = ["b a b a c", "a b a b b"]
+    import pyarrow as pa
+
+    test = decontamination.TestSet.build(np.array([7, 8]), pa.array(items), 3)
+    buf = np.frombuffer(b"x b a b a c y a b b a b a b b", np.uint8)
+    (sa, at, lo, hi, size), = decontamination.Shard.of(test, buf, np.array([0, len(buf)])).found
+    words = "x b a b a c y a b b a b a b b".split()
+    keys = [tuple(words[p : p + size]) for p in sa]
+    assert size == 3 and keys == sorted(keys) and len(sa) == 8
+    test_words = "b a b a c a b a b b".split()
+    assert all(tuple(test_words[q : q + 3]) == keys[k] for q, a, b in zip(at, lo, hi, strict=True) for k in range(a, b))
