@@ -34,13 +34,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each remaining document's ids and decoded bytes."""
-    return prefix_bpe.encode_texts(docs, rank_bytes())
+    """The remaining documents with their token ids, counts and digests of the ids and of the bytes decoded from them."""
+    return prefix_bpe.encode_texts(docs, rank_bytes(), keep_ids=True, keep=tuple(docs.columns))
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontamination", decontaminate), ("byte_bpe", encode)]
 
-#: The stages learn a model, close over verified links and tokenize: not SQL. Tests hold them against brute force.
+#: The stages learn a model, close over verified links and tokenize: not SQL. ``tests/llm/test_pipeline.py`` holds each against brute force.
 ORACLE_SQL = None
 
 
