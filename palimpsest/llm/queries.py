@@ -104,7 +104,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL over whole tables. op4 to op7 are learned, op9 is a closure over verified links, op10 is a tokenizer: none."""
     b32 = " || ".join(f"substr('{warc.BASE32}', (('0x' || substr(h, {1 + 5 * (k // 4)}, 5))::bigint >> {15 - 5 * (k % 4)}) % 32 + 1, 1)" for k in range(32))
+    control = CONTROL_TEXT.replace("'", "''")
+
+    def formatted(col: str, newlines: bool) -> str:
+        """Code points of a column in the template: one more for each backslash, each place where a control string begins and, in roles, each newline."""
+        marks = f"list_sum(list_transform(regexp_extract_all({col}, '#{{3,}}'), lambda m: length(m) - 2))"
+        extra = f" + length({col}) - length(replace({col}, chr(10), ''))" if newlines else ""
+        return f"length({col}) + length({col}) - length(replace({col}, '\\', '')) + coalesce({marks}, 0) + (length({col}) - length(replace({col}, '</turn>', ''))) // 7{extra}"
+
+    word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return {
+        "op1_chat_format": f"""
+            WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+                       UNION ALL SELECT -7, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '{control}' FROM range(2) x(t))
+            SELECT conv_id::bigint AS conv_id, count(*)::bigint AS n_turns,
+                   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+                   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+                   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+                   sum({len(chat_format.HEADER + chat_format.ROLE_END + chat_format.TURN_END)} + {formatted("role", True)} + {formatted("text", False)})::bigint AS formatted_chars
+            FROM r GROUP BY conv_id""",
+        "op8_benchmark_decontamination": f"""
+            WITH i AS (SELECT item_id, regexp_extract_all({lower.format("coalesce(text, '')")}, '{word}') AS w FROM benchmark WHERE item_id IS NOT NULL),
+            t AS (SELECT item_id, w, least(len(w), {decontamination.WINDOW}) AS m FROM i WHERE len(w) > 0),
+            q AS (SELECT DISTINCT item_id, m, array_to_string(w[p : p + m - 1], ' ') AS win FROM t, unnest(range(1, len(w) - m + 2)) x(p)),
+            d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lower.format("coalesce(text, '')")}, '{word}') AS w FROM documents WHERE doc_id IS NOT NULL),
+            s AS (SELECT r, m, p, array_to_string(w[p : p + m - 1], ' ') AS win FROM d, (SELECT DISTINCT m FROM t), unnest(range(1, len(w) - m + 2)) x(p)),
+            f AS (SELECT r, q.m, p, item_id FROM s JOIN q ON s.win = q.win AND s.m = q.m),
+            h AS (SELECT r, count(DISTINCT p + k) AS n_hit FROM f, unnest(range(m)) y(k) GROUP BY r),
+            n AS (SELECT r, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id::varchar, ',' ORDER BY item_id::varchar)) AS sha FROM f GROUP BY r)
+            SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+                   coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+            FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)""",
         "op2_warc": f"""
             WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages WHERE page_id IS NOT NULL),
             f AS (SELECT payload, min(page_id) AS first FROM p GROUP BY payload)
@@ -113,12 +144,12 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN first < page_id THEN first END AS refers_to
             FROM p JOIN f ON p.payload = f.payload""",
         "op3_line_dedup": f"""
-            WITH d AS (SELECT doc_id, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS lines FROM documents),
+            WITH d AS (SELECT doc_id, source AS host, text, string_split(text, chr(10)) AS lines FROM documents),
             l AS (SELECT doc_id, host, unnest(lines) AS line FROM d),
             c AS (SELECT host, trim(line, ' ') AS k, count(DISTINCT doc_id) AS pages FROM l WHERE trim(line, ' ') <> '' GROUP BY ALL),
             t AS (SELECT host, count(*) AS n FROM d GROUP BY host),
-            b AS (SELECT host, list(k) AS bad FROM c JOIN t USING (host) WHERE pages >= {line_dedup.MIN_PAGES} AND pages > n * {line_dedup.MAX_RATIO} GROUP BY host),
-            k AS (SELECT doc_id, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(bad, trim(x, ' ')), false)) AS kept FROM d LEFT JOIN b USING (host))
+            b AS (SELECT c.host, list(k) AS bad FROM c JOIN t ON c.host IS NOT DISTINCT FROM t.host WHERE pages >= {line_dedup.MIN_PAGES} AND pages > n * {line_dedup.MAX_RATIO} GROUP BY c.host),
+            k AS (SELECT doc_id, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(bad, trim(x, ' ')), false)) AS kept FROM d LEFT JOIN b ON d.host IS NOT DISTINCT FROM b.host)
             SELECT doc_id, len(lines)::bigint AS n_lines, (len(lines) - len(kept))::bigint AS n_dropped,
                    length(array_to_string(kept, chr(10)))::bigint AS n_chars_kept, sha256(array_to_string(kept, chr(10))) AS text_sha256 FROM k""",
     }

@@ -1,12 +1,12 @@
 """WARC writing and transaction assembly.
 
 Writer: every page becomes a response or revisit record, a request and a metadata record that name the first through
-WARC-Concurrent-To. Of equal payloads (SHA-1 and length) of at least ``min_revisit_bytes`` bytes the one with the smallest page_id
-is the response. All of it is built of SQL expressions and written by Spark's text writer (whole-file gzip, records
-separated by the format's two empty lines), so archives can lie in any store that Spark writes to.
+WARC-Concurrent-To. Of equal payloads (SHA-256 and length) of at least ``min_revisit_bytes`` bytes the one with the smallest page_id
+is the response. Records are built of SQL expressions; each is a gzip member of its own, so it can be read alone from its offset.
+Archives of about ``file_bytes`` bytes are written by Spark's text writer, so they can lie in any store that Spark writes to.
 
 Reader: archives come as binary files; records are cut out by Content-Length while unpacking in pieces, payloads are digested, and the
-records of a capture are joined through their concurrent-to identifiers into one nested row.
+records of a capture are joined through their concurrent-to identifiers into one nested row. ``record_at`` reads one record alone.
 
 Defined cases: null html is an empty payload; null urls leave the target empty; line breaks in urls are percent-encoded; rows without
 page_id are dropped; an exact repeat of a row is one capture; an empty table gives empty archives and no rows; further columns
@@ -32,9 +32,12 @@ RECORD_END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2000-01-01T00:00:00Z"
-#: Most pages of one archive file.
-FILE_PAGES = 4000
+#: Packed bytes after which an archive file is closed; a record that is larger is a file of its own.
+FILE_BYTES = 16 << 20
 _PIECE = 1 << 20
+#: The last byte of a gzip member is the highest one of its length, 0 below 16 MB. Spark's text writer ends each value with a
+#: separator, so this byte is written as the separator; an empty member behind a longer record makes it 0 there too.
+_LAST = "\0"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -59,15 +62,23 @@ def _record(kind, record_id, fields: list[tuple[str, Column]], block: Column) ->
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), block)
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
+def member(record: bytes) -> bytes:
+    """A record as a gzip member whose last byte is 0."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = z.compress(record) + z.flush()
+    return out if out[-1] == 0 else out + zlib.compressobj(6, zlib.DEFLATED, 31).flush()
+
+
+def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Write WARC files of ``pages`` (page_id, url, html) under ``path``."""
     url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
     rows = with_id(pages, "page_id").select("page_id", url.alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("n", F.octet_length("payload"))
-    # the text isn't shuffled: only digests of repeated payloads are gathered, counted, and joined back
-    first = rows.where(F.col("n") >= min_revisit_bytes).groupBy("digest", "n").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    repeated = materialize(first.where("copies > 1").select("digest", "n", "first"), "digests")
-    rows = bounded_join(rows, repeated, ["digest", "n"], "left", 160)
+    # only digests of repeated payloads are gathered and joined back; the text is shuffled where they exceed the broadcast bound
+    rows = rows.withColumn("same", F.unhex(F.sha2(F.col("payload").cast("binary"), 256)))
+    first = rows.where(F.col("n") >= min_revisit_bytes).groupBy("same", "n").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    repeated = materialize(first.where("copies > 1").select("same", "n", "first"), "digests")
+    rows = bounded_join(rows, repeated, ["same", "n"], "left", 160)
     revisit = F.col("first").isNotNull() & (F.col("first.page_id") < F.col("page_id"))
     main = _uuid("capture")
     target_id = _uuid("capture", F.col("first.page_id"), F.col("first.url"))
@@ -80,8 +91,23 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
     request = _record(F.lit("request"), _uuid("request"), [target, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/http; msgtype=request"))], asked)
     fields = F.concat(F.lit("pageId: "), F.col("page_id").cast("string"), F.lit(CRLF))
     metadata = _record(F.lit("metadata"), _uuid("metadata"), [target, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/warc-fields"))], fields)
-    text = F.concat_ws(RECORD_END, F.when(revisit, again).otherwise(response), request, metadata)
-    rows.select(text.alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_PAGES).mode("overwrite").text(path)
+    records_ = rows.select(F.when(revisit, again).otherwise(response).alias("main"), request.alias("request"), metadata.alias("metadata"))
+
+    def pack(batches):
+        held, size = [], 0
+        for b in batches:
+            for i in range(b.num_rows):
+                for k in range(3):
+                    held.append(member(b.column(k)[i].as_buffer().to_pybytes() + RECORD_END.encode()))
+                    size += len(held[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["file"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["file"])
+
+    packed = map_arrow(records_, pack, "file binary").select(F.col("file").cast("string").alias("value"))
+    packed.write.option("lineSep", _LAST).option("compression", "none").option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
 
 def unpacked(content: bytes) -> Iterator[bytes]:
@@ -102,6 +128,27 @@ def unpacked(content: bytes) -> Iterator[bytes]:
                 raise ValueError("the archive is cut off")
 
 
+def record_at(content: bytes, offset: int) -> tuple[dict[str, str], bytes]:
+    """The record whose gzip member begins at ``offset``, without unpacking any other."""
+    z = zlib.decompressobj(31)
+    return next(records(z.decompress(content[offset:])))
+
+
+def members(content: bytes) -> Iterator[tuple[int, int]]:
+    """(offset, packed bytes) of every gzip member of an archive."""
+    at = 0
+    while at < len(content):
+        z = zlib.decompressobj(31)
+        piece = content[at:]
+        while not z.eof:
+            if not z.decompress(piece, _PIECE) and not z.unconsumed_tail and not z.eof:
+                raise ValueError("the archive is cut off")
+            piece = z.unconsumed_tail
+        end = len(content) - len(z.unused_data)
+        yield at, end - at
+        at = end
+
+
 def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields in lower case, block) of every record of an archive."""
     pieces, have = unpacked(content), bytearray()

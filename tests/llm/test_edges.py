@@ -71,6 +71,19 @@ def test_line_dedup(spark, odd, none):
     assert all(got[i].text == f"own line {i}" and got[i].n_dropped == 2 for i in range(20)) and got[99].text == "menu"
 
 
+def test_line_dedup_hosts(spark, monkeypatch):
+    """A null host is a host of its own; beyond the broadcast bound the salted joins give the same rows."""
+    rows = [(i, f"menu\nown {i}", None) for i in range(12)] + [(100 + i, "menu" if i < 12 else f"x {i}", "") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df).collect()}
+    assert all(plain[i] == f"own {i}" for i in range(12)) and plain[100] == "menu"
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(line_dedup, "fits_broadcast", lambda *a: False)
+    assert {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df).collect()} == plain
+    urls = spark.createDataFrame([("https://User@Example.COM:80/a?b",), ("no url",), (None,)], "url string")
+    assert [r[0] for r in urls.select(line_dedup.host_of(urls.url)).collect()] == ["example.com", None, None]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", None), (1, 1, None, "x"), (1, 2, "assistant", "\\</turn>\n### a\\"), (1, 2, "assistant", "\\</turn>\n### a\\"), (1, None, "user\n", "\U0001f600"), (None, 1, "user", "lost"), (2, 5, "assistant", "")]
     rows += [(3, i, "assistant", "### " * (i % 7)) for i in range(500)]
@@ -99,6 +112,19 @@ def test_warc(spark):
     path = scratch_path(spark, "t")
     warc.write_archives(df, path, min_revisit_bytes=1)
     assert {r.main.type for r in warc.assemble(warc.read_records(spark, path)).where("metadata.page_id in (3, 4)").collect()} == {"response"}
+    # small files, a gzip member a record, each readable alone
+    path = scratch_path(spark, "t")
+    warc.write_archives(df.coalesce(1), path, file_bytes=1500)
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").collect()]
+    assert len(files) > 2
+    for content in files:
+        all_ = list(warc.records(content))
+        at = [offset for offset, _ in warc.members(content)]
+        assert len(at) == len(all_) and [warc.record_at(content, x) for x in at] == all_
+    with pytest.raises(ValueError):
+        list(warc.records(files[0][:-9]))
+    big = warc.member(bytes(17 << 20))
+    assert big[-1] == 0 and b"".join(warc.unpacked(big)) == bytes(17 << 20)
     path = scratch_path(spark, "t")
     warc.write_archives(df.where("page_id > 100"), path)
     assert warc.assemble(warc.read_records(spark, path)).count() == 0

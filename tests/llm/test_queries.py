@@ -41,7 +41,7 @@ def test_op1(spark, sf, duck):
         assert tuple(got[c]) == (c, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
-@pytest.mark.parametrize("name", ["op2_warc", "op3_line_dedup"])
+@pytest.mark.parametrize("name", ["op1_chat_format", "op2_warc", "op3_line_dedup", "op8_benchmark_decontamination"])
 def test_sql(spark, sf, duck, name):
     df = q.queries()[name](spark, sf)
     rel = duck.execute(q.oracle_sql()[name])
