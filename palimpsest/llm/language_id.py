@@ -6,7 +6,7 @@ with the highest cosine. A cosine below the distance of nearly all learning text
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0; without learning texts all are ``und``; ties go
 to the language that sorts first; rows without id are dropped, repeated rows agree; further columns are ignored. The fit
-takes at most ``max_per_lang`` texts a language (smallest seeded hash).
+takes at most ``max_per_lang`` texts a language (smallest seeded hash), each language in a task of its own; only centroids reach the driver.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pu_learning import fold
-from .spark_util import bounded_join, map_arrow, with_id
+from .spark_util import bounded_join, map_arrow, materialize, with_id
 from .text_kernels import BLOCK_BYTES, blocks, buffers
 
 HELD_OUT = (5, 0)
@@ -57,6 +57,12 @@ def has_letter(col: pa.Array) -> np.ndarray:
     return found.to_numpy(zero_copy_only=False)
 
 
+def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit TF-IDF vectors."""
+    x = np.log1p(counts) * idf
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     langs: tuple[str, ...]
@@ -65,10 +71,6 @@ class LanguageModel:
     lang_of: np.ndarray
     radius: np.ndarray
 
-    def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-
     def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         lang, score, far = [], [], []
         buf, off = buffers(col)
@@ -80,7 +82,7 @@ class LanguageModel:
                 continue
             for a in range(0, len(o) - 1, 512):  # the dense rows stay few
                 oo = o[a : a + 513]
-                cos = self.vectors(term_counts(b[oo[0] : oo[-1]], oo - oo[0])) @ self.centroids.T
+                cos = weighted(term_counts(b[oo[0] : oo[-1]], oo - oo[0]), self.idf) @ self.centroids.T
                 best = cos.argmax(axis=1)
                 top = np.clip(cos[np.arange(len(best)), best], 0, 1)
                 here = ok[i + a : i + a + len(best)]
@@ -117,7 +119,7 @@ def train(docs: DataFrame, *, folds: tuple[int, int] | None = HELD_OUT, max_per_
     least = bounded_join(learn, sizes, ["lang"], "inner", 64).where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n") < 2 * max_per_lang)
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = least.withColumn("r", F.row_number().over(first)).where(F.col("r") <= max_per_lang).select("doc_id", "lang").distinct()
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text")
+    picked = bounded_join(docs.select("doc_id", "text"), materialize(ids, "language-ids"), ["doc_id"], "inner", 48).select("doc_id", "lang", "text")
 
     def run(batches):
         for b in batches:
@@ -130,30 +132,28 @@ def train(docs: DataFrame, *, folds: tuple[int, int] | None = HELD_OUT, max_per_
                 rows = pa.array(i + some)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(at, pa.list_(pa.int32())), pa.array([counts[d][x] for d, x in zip(some, at, strict=True)], pa.list_(pa.float32()))], names=["doc_id", "lang", "at", "n"])
 
-    rows = map_arrow(picked, run, "doc_id long, lang string, at array<int>, n array<float>").toArrow()
+    rows = materialize(map_arrow(picked, run, "doc_id long, lang string, at array<int>, n array<float>"), "language-sample")
     dim = 1 << DIM_BITS
-    langs = sorted(set(rows["lang"].to_pylist()))
-    if not langs:
-        return LanguageModel((), np.ones(dim), np.zeros((0, dim)), np.zeros(0, int), np.zeros(0))
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    at, n, lang = rows["at"].combine_chunks(), rows["n"].combine_chunks(), np.array(rows["lang"].to_pylist(), object)[order]
-    a_off, a_val, n_val = at.offsets.to_numpy(), at.values.to_numpy(), n.values.to_numpy()
-    counts = np.zeros((len(order), dim), np.float32)
-    for r, i in enumerate(order):
-        counts[r, a_val[a_off[i] : a_off[i + 1]]] = n_val[a_off[i] : a_off[i + 1]]
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    blank = LanguageModel(tuple(langs), idf, np.zeros((0, dim), np.float32), np.zeros(0, int), np.zeros(0))
-    x = blank.vectors(counts)
-    cents, of, radius = [], [], []
-    for k, name in enumerate(langs):
-        mine = x[lang == name]
-        c, (own, cos) = spherical_kmeans(mine, clusters)
-        for j in range(len(c)):
-            got = cos[own == j]
-            cents.append(c[j])
-            of.append(k)
-            radius.append(float(np.quantile(got, REJECT_QUANTILE)) if len(got) else 0.0)
-    return LanguageModel(tuple(langs), idf, np.array(cents, np.float32), np.array(of), np.array(radius))
+    total = rows.count()
+    # document frequencies of the fixed number of dimensions; one task then clusters the bounded sample of one language
+    df = rows.select(F.explode("at").alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    held = np.zeros(dim)
+    held[df["at"].to_numpy()] = df["n"].to_numpy()
+    idf = (np.log((1 + total) / (1 + held)) + 1).astype(np.float32)
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id").combine_chunks()
+        at, n = table["at"].combine_chunks(), table["n"].combine_chunks()
+        counts = np.zeros((len(table), dim), np.float32)
+        counts[np.repeat(np.arange(len(table)), pc.list_value_length(at).to_numpy()), at.flatten().to_numpy()] = n.flatten().to_numpy()
+        c, (own, cos) = spherical_kmeans(weighted(counts, idf), clusters)
+        radius = [float(np.quantile(cos[own == k], REJECT_QUANTILE)) if (own == k).any() else 0.0 for k in range(len(c))]
+        return pa.table({"lang": pa.array([table["lang"][0].as_py()] * len(c)), "k": pa.array(range(len(c)), pa.int32()), "centroid": pa.array(list(c.astype(np.float32)), pa.list_(pa.float32())), "radius": pa.array(radius, pa.float64())})
+
+    found = rows.groupBy("lang").applyInArrow(fit, "lang string, k int, centroid array<float>, radius double").toArrow().sort_by([("lang", "ascending"), ("k", "ascending")])
+    langs = sorted(set(found["lang"].to_pylist()))
+    cents = found["centroid"].combine_chunks().flatten().to_numpy().reshape(-1, dim) if langs else np.zeros((0, dim), np.float32)
+    return LanguageModel(tuple(langs), idf, cents, np.searchsorted(langs, found["lang"].to_pylist()) if langs else np.zeros(0, int), found["radius"].to_numpy())
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

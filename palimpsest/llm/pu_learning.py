@@ -14,43 +14,89 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
-def sample_ids(df: DataFrame, most: int, seed: int) -> DataFrame:
-    """At most ``most`` ids of ``df`` (doc_id, ...), those of the smallest seeded hash: a bounded top-k, the same on every run."""
+def sample_ids(df: DataFrame, most: int | None, seed: int) -> DataFrame:
+    """At most ``most`` ids of ``df`` (doc_id, ...), those of the smallest seeded hash: a bounded top-k, the same on every run. ``None``: all."""
+    if most is None:
+        return df
     return df.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(most)
 
 
+@dataclass(frozen=True)
+class SparseRows:
+    """A matrix by the cells that are not zero, sorted by row: a cell costs 12 bytes, whatever the number of columns."""
+
+    row_off: np.ndarray
+    col: np.ndarray
+    value: np.ndarray
+    width: int
+
+    def __len__(self) -> int:
+        return len(self.row_off) - 1
+
+    def take(self, rows: np.ndarray) -> SparseRows:
+        many = np.diff(self.row_off)[rows]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        at = np.arange(ends[-1]) + np.repeat(self.row_off[:-1][rows] - ends[:-1], many)
+        return SparseRows(ends, self.col[at], self.value[at], self.width)
+
+    def dot(self, weight: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0.0], np.cumsum(self.value * weight[self.col])])
+        return total[self.row_off[1:]] - total[self.row_off[:-1]]
+
+    def back(self, by_row: np.ndarray) -> np.ndarray:
+        """The sum of the rows, each times its number."""
+        return np.bincount(self.col, self.value * np.repeat(by_row, np.diff(self.row_off)), self.width)
+
+
+@dataclass(frozen=True)
+class DenseRows:
+    value: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.value)
+
+    @property
+    def width(self) -> int:
+        return self.value.shape[1]
+
+    def take(self, rows: np.ndarray) -> DenseRows:
+        return DenseRows(self.value[rows])
+
+    def dot(self, weight: np.ndarray) -> np.ndarray:
+        return (self.value @ weight.astype(self.value.dtype)).astype(np.float64)
+
+    def back(self, by_row: np.ndarray) -> np.ndarray:
+        return (by_row.astype(self.value.dtype) @ self.value).astype(np.float64)
+
+
 @dataclass(frozen=True)
 class LinearPU:
     weight: np.ndarray
     bias: float
 
     def margin(self, x) -> np.ndarray:
-        return x @ self.weight + self.bias
+        return x.dot(self.weight) + self.bias
 
 
-def fit_nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, *, steps: int = 400, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> LinearPU:
+def fit_nnpu(x_pos, x_unl, prior: float, *, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> LinearPU:
     """Minimise the non-negative unbiased risk  pi R+(P) + max(0, R-(U) - pi R-(P))  with the logistic loss, by Adam.
 
     Where the corrected negative risk falls below zero, the step ascends it instead of descending the whole
-    (the published correction against overfitting). Full batches: the samples are bounded.
+    (the published correction against overfitting). Full batches of sparse or dense rows.
     """
-    d = x_pos.shape[1]
-    x_pos, x_unl = np.ascontiguousarray(x_pos, np.float32), np.ascontiguousarray(x_unl, np.float32)
+    d = x_pos.width
     w, b = np.zeros(d), 0.0
     m, v, mb, vb = np.zeros(d), np.zeros(d), 0.0, 0.0
-    sig = lambda z: 0.5 * (1 + np.tanh(0.5 * z))
-    dot = lambda g, x: (g.astype(np.float32) @ x).astype(np.float64)
     n_p, n_u = max(len(x_pos), 1), max(len(x_unl), 1)
     for t in range(1, steps + 1):
-        w32 = w.astype(np.float32)
-        zp, zu = (x_pos @ w32 + b).astype(np.float64), (x_unl @ w32 + b).astype(np.float64)
+        zp, zu = x_pos.dot(w) + b, x_unl.dot(w) + b
         neg_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp_neg, gu_neg = prior * sig(zp) / n_p, sig(zu) / n_u
+        gp_neg, gu_neg = prior * sigmoid(zp) / n_p, sigmoid(zu) / n_u
         if neg_risk < 0:
-            gw, gb = -(dot(gu_neg, x_unl) - dot(gp_neg, x_pos)), -(gu_neg.sum() - gp_neg.sum())
+            gw, gb = -(x_unl.back(gu_neg) - x_pos.back(gp_neg)), -(gu_neg.sum() - gp_neg.sum())
         else:
-            gp = -prior * (1 - sig(zp)) / n_p - gp_neg
-            gw, gb = dot(gp, x_pos) + dot(gu_neg, x_unl), gp.sum() + gu_neg.sum()
+            gp = -prior * (1 - sigmoid(zp)) / n_p - gp_neg
+            gw, gb = x_pos.back(gp) + x_unl.back(gu_neg), gp.sum() + gu_neg.sum()
         gw = gw + l2 * w
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
@@ -60,6 +106,32 @@ def fit_nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, *, steps: int =
     return LinearPU(w, float(b))
 
 
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, confidence: float = 0.1) -> float:
+    """The share of positives among unlabelled margins: least ratio of the two shares above a bound.
+
+    Above any bound the unlabelled texts hold at least their prior's share of the positives there, so each ratio bounds the prior from above;
+    a margin of ``confidence`` for the sampling error (after Hoeffding) makes the least one lie where few negatives are left.
+    """
+    if not len(pos) or not len(unl):
+        return 0.5
+    bounds = np.unique(np.concatenate([pos, unl]))
+    p = 1 - np.searchsorted(np.sort(pos), bounds) / len(pos)
+    u = 1 - np.searchsorted(np.sort(unl), bounds) / len(unl)
+    slack = np.sqrt(np.log(4 / confidence) / (2 * len(pos))) + np.sqrt(np.log(4 / confidence) / (2 * len(unl)))
+    some = p > 0
+    best = int(np.argmin((u[some] + slack) / p[some]))
+    return float(np.clip(u[some][best] / p[some][best], 0.0, 1.0))
+
+
+def fit_pu(x_pos, x_unl, **how) -> tuple[LinearPU, float]:
+    """(model, class prior): the prior is estimated from margins of one half of the rows, by a model of the other half."""
+    half = [[x.take(np.arange(k, len(x), 2)) for k in (0, 1)] for x in (x_pos, x_unl)]
+    first = fit_nnpu(half[0][0], half[1][0], 0.5, **{**how, "steps": 150})
+    prior = estimate_prior(first.margin(half[0][1]), first.margin(half[1][1]))
+    prior = min(max(prior, 1e-3), 1 - 1e-3)
+    return fit_nnpu(x_pos, x_unl, prior, **how), prior
+
+
 def calibrate(margin: np.ndarray, label: np.ndarray, steps: int = 200, prior: float | None = None) -> tuple[float, float]:
     """Platt scaling (a, b): P(1) = sigmoid(a margin + b), a > 0, by Newton steps with smoothed targets.
 

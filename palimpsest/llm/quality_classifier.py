@@ -1,13 +1,14 @@
 """Quality classifier by positive-unlabelled learning over document statistics.
 
-Trusted positives are the documents labelled good; all other texts are unlabelled web text; the class prior is
-estimated from the labelled rows of the learning folds. The model is additive: each statistic is cut at quantiles
-of the unlabelled sample, each bin has a weight, and the weights minimise the non-negative unbiased risk. The margin
-is then scaled to a probability on labelled rows of the same folds.
+Trusted positives are the documents labelled good; a sample of all texts is unlabelled web text; the class prior is
+estimated from the two, without negative labels. The model is additive: each statistic is cut at quantiles
+of the unlabelled sample, each bin has a weight, and the weights minimise the non-negative unbiased risk. The margin, whose order
+this fixes, is then scaled to a probability on the labelled rows of the learning folds: here alone labels of poor documents count.
 
 Defined cases: null and empty texts score as a text of no words; repeated rows score alike; a row without id is
 dropped; without labels of both classes every score is the prior (0.5 without any label); further columns of the
-input are ignored. Samples for the fit are bounded by ``max_labelled`` and ``max_unlabelled`` rows (smallest seeded hash).
+input are ignored. Samples for the fit are bounded by ``max_labelled`` and ``max_unlabelled`` rows (smallest seeded hash); ``None``
+takes every row, whose statistics (8 bytes each) then gather on the driver.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .doc_stats import FEATURES, column_stats
-from .pu_learning import LinearPU, calibrate, fit_nnpu, fold, sample_ids, sigmoid
-from .spark_util import map_arrow, with_id
+from .pu_learning import DenseRows, LinearPU, calibrate, fit_pu, fold, sample_ids, sigmoid
+from .spark_util import bounded_join, map_arrow, with_id
 
 HELD_OUT = (3, 1)
 MAX_LABELLED = 8000
@@ -37,7 +38,7 @@ class QualityModel:
     prior: float
 
     def one_hot(self, feats: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.eye(len(c) + 1)[np.searchsorted(c, feats[:, j], "right")] for j, c in enumerate(self.cuts)], axis=1)
+        return np.concatenate([np.eye(len(c) + 1, dtype=np.float32)[np.searchsorted(c, feats[:, j], "right")] for j, c in enumerate(self.cuts)], axis=1)
 
     def score(self, feats: np.ndarray) -> np.ndarray:
         if self.linear is None:
@@ -53,7 +54,7 @@ class QualityModel:
 def feature_rows(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     """Statistics of the documents of a bounded id sample, with the other columns of ``ids``: a bounded matrix on the driver."""
     extra = [c for c in ids.columns if c != "doc_id"]
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", *extra)
+    picked = bounded_join(docs.select("doc_id", "text"), ids, ["doc_id"], "inner", 32).select("doc_id", "text", *extra)
 
     def run(batches):
         for b in batches:
@@ -63,7 +64,7 @@ def feature_rows(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     return map_arrow(picked, run, "doc_id long, feats array<double>" + "".join(f", {c} int" for c in extra)).toPandas().sort_values("doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds: tuple[int, int] | None = HELD_OUT, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds: tuple[int, int] | None = HELD_OUT, max_labelled: int | None = MAX_LABELLED, max_unlabelled: int | None = MAX_UNLABELLED) -> QualityModel:
     """Fit on labelled rows whose fold is not the held-out one, and on unlabelled documents of any fold."""
     learn = with_id(labels, "doc_id").where(F.col(label).isNotNull())
     if folds:
@@ -74,14 +75,14 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds:
     unl = feature_rows(docs, others)
     y = known["y"].to_numpy(np.float64)
     x, u = (np.stack(d["feats"]) if len(d) else np.zeros((0, len(FEATURES))) for d in (known, unl))
-    prior = float(y.mean()) if len(y) else 0.5
-    if not len(u) or not 0 < prior < 1:
-        return QualityModel((), None, (1.0, 0.0), prior)
+    share = float(y.mean()) if len(y) else 0.5
+    if not len(u) or not 0 < share < 1:
+        return QualityModel((), None, (1.0, 0.0), share)
     cuts = tuple(np.unique(np.quantile(u[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(u.shape[1]))
-    model = QualityModel(cuts, None, (1.0, 0.0), prior)
-    hot_x = model.one_hot(x)
-    linear = fit_nnpu(hot_x[y > 0], model.one_hot(u), prior)
-    return QualityModel(cuts, linear, calibrate(linear.margin(hot_x), y), prior)
+    model = QualityModel(cuts, None, (1.0, 0.0), share)
+    labelled = DenseRows(model.one_hot(x))
+    linear, prior = fit_pu(labelled.take(np.flatnonzero(y > 0)), DenseRows(model.one_hot(u)))
+    return QualityModel(cuts, linear, calibrate(linear.margin(labelled), y), prior)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -1,13 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning over word and word-beginning features.
 
-Confirmed toxic documents of the learning folds are the positives, other documents are unlabelled, the class prior is
-the toxic share among labelled rows of those folds. Features are hashed lower-case words and word beginnings whose
-document frequency is clearly higher or lower among positives than among unlabelled texts; a text's value is
-log(1 + count), with rates beside it, so a single word in a long text still counts.
+Confirmed toxic documents of the learning folds are the positives, a sample of all texts is unlabelled, the class prior that
+corrects the risk is the toxic share among labelled rows of those folds. Features are hashed lower-case words and word beginnings whose
+document frequency is clearly higher or lower among positives than among unlabelled texts, by z-score and by effect size, all of them; a text's value is
+log(1 + count), with rates beside it, so a single word in a long text still counts. Learning rows are kept by their cells that are
+not zero, so memory grows with the words of the samples, not with the number of features.
 
 Defined cases: null and empty texts have no features and score by the bias alone; a row without id is dropped; repeated
 rows score alike; without toxic labels every score is the prior (0 without any label); further columns are ignored.
-The samples are bounded by ``max_positive``, ``max_labelled`` and ``max_unlabelled`` rows (smallest seeded hash).
+The samples are bounded by ``max_positive``, ``max_labelled`` and ``max_unlabelled`` rows (smallest seeded hash); ``None`` takes every row.
 """
 
 from __future__ import annotations
@@ -21,17 +22,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pu_learning import LinearPU, calibrate, fit_nnpu, fold, sample_ids, sigmoid
-from .spark_util import map_arrow, materialize, with_id
+from .pu_learning import LinearPU, SparseRows, calibrate, fit_nnpu, fold, sample_ids, sigmoid
+from .spark_util import bounded_join, map_arrow, materialize, with_id
 from .text_kernels import ALNUM_ANY, blocks, buffers, distinct, hashes, words
 
 HELD_OUT = (4, 2)
 MAX_POSITIVE = 3000
 MAX_LABELLED = 3000
 MAX_UNLABELLED = 5000
-#: Most features, and the least z-score of one.
-MAX_FEATURES = 400
-MIN_Z = 4.5
+#: Least z-score of a feature, and least difference of its frequencies in standard deviations: of large samples weak words pass the first too.
+MIN_Z, MIN_EFFECT = 4.5, 0.3
 #: Bytes of word beginnings that are features too, and the bits of all hashes.
 PREFIXES = (5, 7)
 HASH_BITS = 22
@@ -55,25 +55,29 @@ class ToxicModel:
     scale: tuple[float, float]
     prior: float
 
-    def matrix(self, col: pa.Array) -> Iterator[np.ndarray]:
-        """Blocks of documents x (2 x keys): log counts and rates."""
+    def rows(self, col: pa.Array) -> Iterator[SparseRows]:
+        """Blocks of documents x (2 x keys) by cells: log counts and rates."""
         buf, off = buffers(col)
         k = len(self.keys)
         for _, _, b, o in blocks(buf, off):
             views, w_off = hashed_words(b, o)
             n = len(o) - 1
             doc = np.repeat(np.arange(n), np.diff(w_off))
-            count = np.zeros((n, k))
+            hits = []
             for h in views:
                 at = self.where(h)
-                ok = at >= 0
-                np.add.at(count, (doc[ok], at[ok]), 1)
-            yield np.concatenate([np.log1p(count), 10 * count / np.maximum(np.diff(w_off), 20)[:, None]], axis=1)
+                hits.append(doc[at >= 0] * k + at[at >= 0])
+            cell, count = np.unique(np.concatenate(hits), return_counts=True)
+            d, f = cell // max(k, 1), cell % max(k, 1)
+            d, f = np.concatenate([d, d]), np.concatenate([f, f + k])
+            value = np.concatenate([np.log1p(count), 10 * count / np.maximum(np.diff(w_off), 20)[d[: len(count)]]])
+            order = np.lexsort((f, d))
+            yield SparseRows(np.searchsorted(d[order], np.arange(n + 1)), f[order].astype(np.int32), value[order], 2 * k)
 
     def where(self, h: np.ndarray) -> np.ndarray:
         table = getattr(self, "_table", None)
         if table is None:
-            table = np.full(1 << HASH_BITS, -1, np.int16)
+            table = np.full(1 << HASH_BITS, -1, np.int32)
             table[self.keys.astype(np.int64)] = np.arange(len(self.keys))
             object.__setattr__(self, "_table", table)
         return table[h.astype(np.int64)]
@@ -82,28 +86,10 @@ class ToxicModel:
         return {k: v for k, v in self.__dict__.items() if k != "_table"}
 
     def score(self, col: pa.Array) -> np.ndarray:
-        """The linear model over the features, summed by word without a dense matrix."""
         if self.linear is None:
             return np.full(len(col), self.prior)
-        buf, off = buffers(col)
-        k = len(self.keys)
-        out = []
-        for _, _, b, o in blocks(buf, off):
-            views, w_off = hashed_words(b, o)
-            n = len(o) - 1
-            doc = np.repeat(np.arange(n), np.diff(w_off))
-            hits = []
-            for h in views:
-                at = self.where(h)
-                ok = at >= 0
-                hits.append(doc[ok] * k + at[ok])
-            cell, count = np.unique(np.concatenate(hits), return_counts=True)
-            d, f = cell // k, cell % k
-            w = self.linear.weight
-            part = np.log1p(count) * w[f] + 10 * count / np.maximum(np.diff(w_off), 20)[d] * w[k + f]
-            out.append(np.bincount(d, part, n) + self.linear.bias)
-        z = np.concatenate(out) if out else np.zeros(0)
-        return sigmoid(self.scale[0] * z + self.scale[1])
+        z = [self.linear.margin(x) for x in self.rows(col)]
+        return sigmoid(self.scale[0] * (np.concatenate(z) if z else np.zeros(0)) + self.scale[1])
 
 
 def document_frequencies(sample: DataFrame) -> DataFrame:
@@ -132,7 +118,7 @@ def document_frequencies(sample: DataFrame) -> DataFrame:
     return parts.groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("nu").alias("nu"))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: tuple[int, int] | None = HELD_OUT, max_positive: int = MAX_POSITIVE, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: tuple[int, int] | None = HELD_OUT, max_positive: int | None = MAX_POSITIVE, max_labelled: int | None = MAX_LABELLED, max_unlabelled: int | None = MAX_UNLABELLED) -> ToxicModel:
     learn = with_id(labels, "doc_id").where(F.col(label).isNotNull())
     if folds:
         learn = learn.where(fold("doc_id", folds[0]) != folds[1])
@@ -145,31 +131,35 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: tu
     neg = sample_ids(learn.where("y = 0"), max_labelled, 22)
     unl = sample_ids(with_id(docs.select("doc_id"), "doc_id"), max_unlabelled, 23).distinct().withColumn("y", F.lit(-1))
     ids = pos.unionByName(neg).unionByName(unl)
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text"), "toxic-sample")
+    sample = materialize(bounded_join(docs.select("doc_id", "text"), ids, ["doc_id"], "inner", 32).select("doc_id", "y", "text"), "toxic-sample")
     # two-sample z-score of each hash's document frequency among positives and unlabelled texts
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, nu = max(sizes.get(1, 0), 1), max(sizes.get(-1, 0), 1)
     p = (F.col("n1") + F.col("nu")) / (n1 + nu)
-    z = (F.col("n1") / n1 - F.col("nu") / nu) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / nu) + F.lit(1e-12))
-    best = document_frequencies(sample).where("n1 + nu >= 5").select("key", F.abs(z).alias("z")).where(F.col("z") > MIN_Z)
-    keys = np.sort(np.array([r.key for r in best.orderBy(F.desc("z"), "key").limit(MAX_FEATURES).collect()], np.uint64))
+    effect = F.abs(F.col("n1") / n1 - F.col("nu") / nu) / F.sqrt(p * (1 - p) + F.lit(1e-12))
+    least = max(MIN_EFFECT, MIN_Z * (1 / n1 + 1 / nu) ** 0.5)
+    best = document_frequencies(sample).where("n1 + nu >= 5").where(effect > least)
+    keys = np.sort(best.select("key").toArrow()["key"].to_numpy()).astype(np.uint64)
     if not len(keys):
         return ToxicModel(keys, None, (1.0, 0.0), prior)
     blank = docs.sparkSession.sparkContext.broadcast(ToxicModel(keys, None, (1.0, 0.0), prior))
 
     def run(batches):
         for b in batches:
-            rows = [x for m in blank.value.matrix(b.column(2)) for x in m.astype(np.float32)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
+            at = 0
+            for x in blank.value.rows(b.column(2)):
+                cells = pa.array(x.row_off, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(x)), b.column(1).slice(at, len(x)), pa.ListArray.from_arrays(cells, pa.array(x.col)), pa.ListArray.from_arrays(cells, pa.array(x.value))], names=["doc_id", "y", "col", "value"])
+                at += len(x)
 
-    table = map_arrow(sample, run, "doc_id long, y int, x array<float>").toArrow()
+    table = map_arrow(sample, run, "doc_id long, y int, col array<int>, value array<double>").toArrow().combine_chunks()
     y = table["y"].to_numpy()
     order = np.lexsort([table["doc_id"].to_numpy(), y])
-    m = table["x"].combine_chunks().values.to_numpy().reshape(len(y), -1)[order]
-    y = y[order]
-    linear = fit_nnpu(m[y == 1], m[y == -1], prior, steps=250, rate=0.05, l2=1e-3)
-    known = y >= 0
-    margin, lab = linear.margin(m[known]), y[known].astype(np.float64)
+    col, value = (table[c].combine_chunks() for c in ("col", "value"))
+    rows = SparseRows(np.concatenate([[0], np.cumsum(pc.list_value_length(col).to_numpy())]), col.flatten().to_numpy(), value.flatten().to_numpy(), 2 * len(keys))
+    of = lambda which: rows.take(order[which[order]])
+    linear = fit_nnpu(of(y == 1), of(y == -1), prior, steps=250, rate=0.05, l2=1e-3)
+    margin, lab = linear.margin(of(y >= 0)), np.sort(y[y >= 0]).astype(np.float64)
     return ToxicModel(keys, linear, calibrate(margin, lab, prior=prior), prior)
 
 
