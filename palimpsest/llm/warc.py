@@ -34,7 +34,7 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2000-01-01T00:00:00Z"
 #: Packed bytes after which an archive file is closed; a record that is larger is a file of its own.
 FILE_BYTES = 16 << 20
-_PIECE = 1 << 20
+_PIECE, _SLICE = 1 << 20, 4096
 #: The last byte of a gzip member is the highest one of its length, 0 below 16 MB. Spark's text writer ends each value with a
 #: separator, so this byte is written as the separator; an empty member behind a longer record makes it 0 there too.
 _LAST = "\0"
@@ -64,7 +64,7 @@ def _record(kind, record_id, fields: list[tuple[str, Column]], block: Column) ->
 
 def member(record: bytes) -> bytes:
     """A record as a gzip member whose last byte is 0."""
-    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    z = zlib.compressobj(1, zlib.DEFLATED, 31)
     out = z.compress(record) + z.flush()
     return out if out[-1] == 0 else out + zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 
@@ -110,41 +110,45 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, file
     packed.write.option("lineSep", _LAST).option("compression", "none").option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
 
+def _inflate(content: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """(piece, 0) for the pieces of the gzip member at ``at``, then (b"", its end). Input is fed in small slices, so that none is copied twice."""
+    z, view = zlib.decompressobj(31), memoryview(content)
+    while not z.eof:
+        if at >= len(content):
+            raise ValueError("the archive is cut off")
+        piece = z.decompress(view[at : at + _SLICE], _PIECE)
+        at = min(at + _SLICE, len(content))
+        yield piece, 0
+        while z.unconsumed_tail:
+            yield z.decompress(z.unconsumed_tail, _PIECE), 0
+    yield b"", at - len(z.unused_data)
+
+
 def unpacked(content: bytes) -> Iterator[bytes]:
     """Pieces of a gzip file of any number of members, or of plain data."""
     if content[:2] != b"\x1f\x8b":
         for i in range(0, len(content), _PIECE):
             yield content[i : i + _PIECE]
         return
-    rest = content
-    while rest:
-        z = zlib.decompressobj(31)
-        while not z.eof:
-            piece = z.decompress(rest, _PIECE)
-            rest = z.unconsumed_tail or z.unused_data
+    at = 0
+    while at < len(content):
+        for piece, end in _inflate(content, at):
             if piece:
                 yield piece
-            elif not z.eof and not rest:
-                raise ValueError("the archive is cut off")
+        at = end
 
 
 def record_at(content: bytes, offset: int) -> tuple[dict[str, str], bytes]:
     """The record whose gzip member begins at ``offset``, without unpacking any other."""
-    z = zlib.decompressobj(31)
-    return next(records(z.decompress(content[offset:])))
+    return next(records(b"".join(piece for piece, _ in _inflate(content, offset))))
 
 
 def members(content: bytes) -> Iterator[tuple[int, int]]:
     """(offset, packed bytes) of every gzip member of an archive."""
     at = 0
     while at < len(content):
-        z = zlib.decompressobj(31)
-        piece = content[at:]
-        while not z.eof:
-            if not z.decompress(piece, _PIECE) and not z.unconsumed_tail and not z.eof:
-                raise ValueError("the archive is cut off")
-            piece = z.unconsumed_tail
-        end = len(content) - len(z.unused_data)
+        for _, end in _inflate(content, at):
+            pass
         yield at, end - at
         at = end
 
