@@ -1,6 +1,7 @@
 """Word lists, patterns and constants that decide what counts as personal data."""
 
-# ---- fixed values (alphabetical; compared without regard to case unless noted) ----
+# ---- fixed values, given by the task: they decide results, so they are stated as they are. The word lists are sets, compared without
+# ---- regard to case; their order is free (alphabetical here), and titles are sorted by length before they become a pattern ----
 ROLE_TITLES = "CEO|CFO|COO|CS|Chairman|Chief Executive Officer|Chief Financial Officer|Chief Operating Officer|Company Secretary|Compliance Officer|Contact Person|Director|Executive Director|Founder|General Manager|Independent Director|Joint Managing Director|Manager|Managing Director|Non[- ]Executive Director|Officer|Partner|President|Principal|Promoter|Proprietor|Senior Manager|Technical Director|Treasurer|Trustee|Vice President|Whole[- ]?time Director".split("|")
 PUBLIC_BODIES = "bse|bse limited|cdsl|companies act|government of india|gst|high court|icai|ifrs|income tax department|ind as|india|mca|ministry of corporate affairs|national stock exchange of india limited|npci|nsdl|nse|rbi|registrar of companies|reserve bank of india|roc|sebi|securities and exchange board of india|supreme court|the companies act|us gaap".split("|")
 COMPANY_SUFFIXES = "associates|bank|capital|co|company|corp|corporation|enterprises|foundation|gmbh|group|holdings|inc|incorporated|industries|limited|llp|ltd|partners|plc|private|pvt|securities|services|solutions|technologies|trust".split("|")
@@ -44,12 +45,13 @@ NON_ADDRESS_LINE = r"(?i)^\s*(firm|peer|sebi|cin|din|registration|telephone|tel|
 LABELLED_FIELD = r"^\s*[A-Za-z][A-Za-z0-9 /&.\-]{1,28}:"
 CONTACT_PERSON = r"(?i)\bcontact\s+person\s*:?\s*(.+)"
 CONTACT_CUT = r"(?i)\b(website|email|e-mail|telephone|tel|sebi|cin|fax)\b"
-NAME_SEPARATOR = r"\s*(?:/|,|\b[aA][nN][dD]\b)\s*"
+NAME_SEPARATOR = r"\s*(?:/|,|\band\b)\s*"
 ADDRESS_LINES = ("Exampleton - 411 001", "Example State, India", "12 Example Road, Sector 4", "Example City - 400 002", "Example District, India")
 COMPANY_FORMS = ("Technologies Ltd.", "Industries Limited", "Solutions Private Limited", "Enterprises Ltd.", "Manufacturing Limited", "Holdings Private Limited")
 LOOK_BACK, ROLE_BEFORE, ROLE_AFTER = 40, 28, 60
 TAIL_TOKENS, MAX_LINE, MAX_BLOCK, BLOCK_HEAD, MIN_FRAGMENT, MIN_TOUCHED = 3, 120, 5, 40, 3, 2
 MIN_NER, MIN_PROPAGATED, SHORT_ADDRESS, PHONE_DIGITS, SIMILAR = 3, 6, 30, 8, 0.8
+CARRIER_BEFORE, CARRIER_AFTER, CARRIER_MAX = "Contact person: ", ".", 60
 # ---- end of fixed values ----
 
 #: Names for surrogates: ours, combined by ordinal.

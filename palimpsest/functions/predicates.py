@@ -41,7 +41,7 @@ def clean_company(name: Column) -> Column:
     """Without leading noise words and lower-case words; joined by single spaces."""
     t = tokens(name)
     noise = F.array(*map(F.lit, L.LEADING_NOISE))
-    keep = F.transform(t, lambda x: ~(F.array_contains(noise, F.lower(F.btrim(x, F.lit(".,")))) | x.rlike(r"^\p{Ll}")))
+    keep = F.transform(t, lambda x: ~(F.array_contains(noise, F.lower(F.btrim(x, F.lit(",")))) | x.rlike(r"^\p{Ll}")))
     first = F.array_position(keep, F.lit(True)).cast("int")
     return F.when(first > 0, F.array_join(F.slice(t, first, F.size(t)), " ")).otherwise("")
 

@@ -56,11 +56,11 @@ def multiline_addresses(detected: DataFrame) -> DataFrame:
     return part.where(F.length(F.trim("frag")) >= L.MIN_FRAGMENT).select("doc_id", "unit", entity(F.col("frag"), "ADDRESS", F.col("lead") + F.col("lo"), F.col("lead") + F.col("hi"), "rule-multiline").alias("e"))
 
 
-def merge(detected: DataFrame, extra: DataFrame) -> DataFrame:
-    """Detected units with further entities (doc_id, unit, e) resolved among theirs."""
+def merge(detected: DataFrame, extra: DataFrame, resolved: bool = True) -> DataFrame:
+    """Detected units with further entities (doc_id, unit, e) resolved among theirs; ``resolved``: whether theirs are already."""
     more = extra.groupBy("doc_id", "unit").agg(F.array_sort(F.collect_list("e")).alias("_more"))
     both = detected.join(more, ["doc_id", "unit"], "left").withColumn("_all", numbered(F.concat("ents", F.coalesce("_more", F.array().cast(f"array<{ENTITY}>")))))
-    return both.select(*[c for c in detected.columns if c != "ents"], F.when(F.col("_more").isNull(), F.col("ents")).otherwise(resolve(F.col("_all"))).alias("ents"))
+    return both.select(*[c for c in detected.columns if c != "ents"], (F.when(F.col("_more").isNull(), F.col("ents")).otherwise(resolve(F.col("_all"))) if resolved else resolve(F.col("_all"))).alias("ents"))
 
 
 def stitch(detected: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def address_tail(text: Column, end: Column) -> Column:
     stop = F.array(*map(F.lit, L.TAIL_STOP_WORDS))
 
     def step(acc, _):
-        rest = F.substring(text, acc["pos"] + 1, F.lit(200))
+        rest = F.substring(text, acc["pos"] + 1, F.length(text))
         took, word = F.regexp_extract(rest, L.TAIL_TOKEN, 1), F.regexp_extract(rest, L.TAIL_TOKEN, 2)
         after = acc["pos"] + F.length(took)
         ok = acc["go"] & (took != "") & ~F.array_contains(stop, F.lower(F.btrim(word, F.lit(".")))) & (F.substring(text, after + 1, F.lit(1)) != ":")
@@ -98,7 +98,7 @@ def contact_entities(text: Column) -> Column:
         said = (role != "") | (org != "")
         return entity(s["text"], "PERSON", a, b, "rule-contact", F.when(said, role), F.when(said, org))
 
-    return F.when(text.rlike(L.CONTACT_PERSON), F.transform(F.filter(folded, lambda s: P.plausible_person(s["text"]) & ~s["text"].rlike("(?i)^" + L.ROLE.removeprefix("(?i)") + "$")), person)).otherwise(empty(ENTITY))
+    return F.when(text.rlike(L.CONTACT_PERSON), F.transform(F.filter(folded, lambda s: P.plausible_person(s["text"])), person)).otherwise(empty(ENTITY))
 
 
 def legal_form(text: Column) -> Column:
@@ -135,8 +135,8 @@ def rule_columns(text: Column) -> dict[str, Column]:
     return out | {"_dob": dob_entities(text), "_address": address_entities(text), "_contact": contact_entities(text), "_company": company_entities(text)}
 
 
-def detect(units: DataFrame) -> DataFrame:
-    """Units with their resolved entities ``ents``; narrow, no shuffle.
+def detect(units: DataFrame, resolved: bool = True) -> DataFrame:
+    """Units with their entities ``ents``, resolved or all that the rules found; narrow, no shuffle.
 
     The rules, their concatenation and the resolution are projections of their own, so that none is evaluated twice.
     """
@@ -145,7 +145,7 @@ def detect(units: DataFrame) -> DataFrame:
     rules = rule_columns(F.col("text"))
     found = units.withColumns(rules)
     every = found.select(*units.columns, F.concat(*rules).alias("_all"))
-    return every.select(*units.columns, numbered(F.col("_all")).alias("_all")).select(*units.columns, once(resolve(F.col("_all"))).alias("ents"))
+    return every.select(*units.columns, numbered(F.col("_all")).alias("_all")).select(*units.columns, once(resolve(F.col("_all")) if resolved else F.col("_all")).alias("ents"))
 
 
 def may_hold(text: Column) -> Column:

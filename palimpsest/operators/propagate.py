@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions import predicates as P
 from ..functions.spans import CLOSE, OPEN, entity, find
 from .blocks import merge
 from .detect import entities
@@ -22,9 +23,16 @@ def occurrences(units: DataFrame, vocab: DataFrame, source: str = "propagated")
     hits = units.select("doc_id", "unit", "text").join(vocab, "doc_id").where(F.contains(F.lower("text"), F.lower("value")))
     pattern = F.concat(F.lit(r"(?iu)\Q"), F.replace(F.col("value"), F.lit(r"\E"), F.lit("")), F.lit(r"\E"))
     spans = find(F.col("text"), pattern, F.lit(f"{OPEN}$0{CLOSE}"))
-    rows = hits.select("doc_id", "unit", "type", F.explode(spans).alias("s"))
-    made = {t: entity(F.col("s.text"), t, F.col("s.start"), F.col("s.end"), source) for t in ("PERSON", "COMPANY")}
-    return rows.select("doc_id", "unit", F.when(F.col("type") == "PERSON", made["PERSON"]).otherwise(made["COMPANY"]).alias("e"))
+    return named(hits.select("doc_id", "unit", "text", "type", F.explode(spans).alias("s")), source)
+
+
+def named(rows: DataFrame, source: str) -> DataFrame:
+    """``doc_id, unit, e`` of spans ``s`` in texts; people with the role and company said beside them."""
+    text, start, end = F.col("s.text"), F.col("s.start"), F.col("s.end")
+    role, org = P.person_context(F.col("text"), start, end)
+    said = (role != "") | (org != "")
+    person = entity(text, "PERSON", start, end, source, F.when(said, role), F.when(said, org))
+    return rows.select("doc_id", "unit", F.when(F.col("type") == "PERSON", person).otherwise(entity(text, "COMPANY", start, end, source)).alias("e"))
 
 
 def propagate(detected: DataFrame) -> DataFrame:
@@ -32,20 +40,18 @@ def propagate(detected: DataFrame) -> DataFrame:
 
 
 def gazetteer(detected: DataFrame, names: DataFrame) -> DataFrame:
-    """Entities of a list of names (value, type), met by the first word.
+    """Units with the entities of a list of names (value, type), as they are listed."""
+    return merge(detected, named(listed(detected, names), "ner"))
 
-    Stands in for a model of named entities: the same contract, values by type.
-    """
-    return merge(detected, _gazetteer_hits(detected, names))
 
+def listed(units: DataFrame, names: DataFrame) -> DataFrame:
+    """``doc_id, unit, text, type, s``: whole occurrences of listed names, in any case.
 
-def _gazetteer_hits(detected: DataFrame, names: DataFrame) -> DataFrame:
-    """Names meet units on their first word (lower case), an equi-join, before the search for the whole value."""
+    Names meet units on their first word (lower case), an equi-join on ids and words; texts join the matching units once.
+    """
     first = F.lower(F.element_at(F.split(F.trim("value"), r"\s+"), 1))
-    keyed = names.withColumn("_w", first)
-    words = detected.select("doc_id", "unit", "text", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}&.'-]+"))).alias("_w"))
-    met = words.join(keyed, "_w").where(F.contains(F.lower("text"), F.lower("value"))).drop("_w").distinct()
+    words = units.select("doc_id", "unit", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}&.'-]+"))).alias("_w"))
+    met = words.join(names.select("value", "type", first.alias("_w")), "_w").select("doc_id", "unit", "value", "type").distinct()
+    rows = units.select("doc_id", "unit", "text").join(met, ["doc_id", "unit"]).where(F.contains(F.lower("text"), F.lower("value")))
     pattern = F.concat(F.lit(r"(?iu)\b\Q"), F.replace(F.col("value"), F.lit(r"\E"), F.lit("")), F.lit(r"\E\b"))
-    rows = met.select("doc_id", "unit", "type", F.explode(find(F.col("text"), pattern, F.lit(f"{OPEN}$0{CLOSE}"))).alias("s"))
-    made = {t: entity(F.col("s.text"), t, F.col("s.start"), F.col("s.end"), "ner") for t in ("PERSON", "COMPANY")}
-    return rows.select("doc_id", "unit", F.when(F.col("type") == "PERSON", made["PERSON"]).otherwise(made["COMPANY"]).alias("e"))
+    return rows.select("doc_id", "unit", "text", "type", F.explode(find(F.col("text"), pattern, F.lit(f"{OPEN}$0{CLOSE}"))).alias("s"))

@@ -92,9 +92,13 @@ def email_of(name: Column) -> Column:
     return F.concat(F.when(slug == "", F.lit("user")).otherwise(slug), F.lit("@example.com"))
 
 
-def surrogates(ents: DataFrame, link_emails: bool = True) -> DataFrame:
+#: The seed by which the first identity gets the first stand-in; another one begins further on, so stand-ins stay distinct.
+SEED = 42
+
+
+def surrogates(ents: DataFrame, link_emails: bool = True, seed: int = SEED) -> DataFrame:
     """Ordinals with each identity's ``fake``."""
-    ids = ordinals(ents).withColumn("fake", fake(F.col("type"), F.col("n"), F.col("first_seen")))
+    ids = ordinals(ents).withColumn("fake", fake(F.col("type"), F.col("n") + (seed - SEED) % 1000, F.col("first_seen")))
     if not link_emails:
         return ids
     linked = ids.join(email_links(ids), ["doc_id", "type", "key", "ctx"], "left")

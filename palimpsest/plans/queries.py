@@ -220,8 +220,9 @@ def oracle_sql() -> dict[str, str]:
         "mapping_report": f"{e}, {ordinal} SELECT doc_id, type || ':' || first_seen AS label, fake FROM m",
         "report_markdown": f"""
             WITH s AS ({derived.oracle_sql()["evaluation_metrics"]})
-            SELECT corpus, '| Type | Precision | Recall | F1 | Accuracy | TP | FP | FN |' || chr(10) || '|---|---|---|---|---|---|---|---|' || chr(10) ||
-                string_agg(printf('| %s | %.2f | %.2f | %.2f | %.2f | %d | %d | %d |', type, precision, recall, f1, accuracy, tp, fp, fn), chr(10) ORDER BY type = 'ALL', type) AS report FROM s GROUP BY corpus""",
+            SELECT corpus, '### Corpus: ' || corpus || chr(10) || chr(10) || '| PII Type | Precision | Recall | F1 | Accuracy | TP | FP | FN | Support |' || chr(10) || '|---|---|---|---|---|---|---|---|---|' || chr(10) ||
+                string_agg(CASE WHEN type = 'ALL' THEN printf('| **OVERALL** | **%.2f** | **%.2f** | **%.2f** | **%.2f** | %d | %d | %d | %d |', precision, recall, f1, accuracy, tp, fp, fn, support)
+                    ELSE printf('| %s | %.2f | %.2f | %.2f | %.2f | %d | %d | %d | %d |', type, precision, recall, f1, accuracy, tp, fp, fn, support) END, chr(10) ORDER BY type = 'ALL', type) AS report FROM s GROUP BY corpus""",
         "sql_functions": f"""
             WITH v AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_PATTERNS["EMAIL"][0]}')) AS v, 'EMAIL' AS type FROM documents
                 UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '{_PATTERNS["CREDIT_CARD"][0]}')), 'CREDIT_CARD' FROM documents

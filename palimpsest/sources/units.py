@@ -23,7 +23,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
-def read_text_files(spark: SparkSession, path: str, max_bytes: int = 8 << 20, suffixes: tuple[str, ...] = ("txt", "md", "text", "log", "csv")) -> DataFrame:
-    """Whole text files of the accepted suffixes within the size cap, as ``doc_id, path, text``; content of larger files isn't read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(path).where(F.col("length") <= max_bytes)
-    return files.select(F.xxhash64("path").alias("doc_id"), "path", F.decode("content", F.lit("UTF-8")).alias("text"))
+SUFFIXES = ("txt", "md", "text", "log", "csv")
+#: Largest file that is taken, in bytes.
+MAX_BYTES = 8 << 20
+
+
+def listing(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """The files under ``path`` (a folder, file or glob) with one of the suffixes, in any case."""
+    ends = ",".join("".join(f"[{c.lower()}{c.upper()}]" for c in x) for x in suffixes)
+    return spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{ends}}}").load(path)
+
+
+def too_large(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """``path, length`` of the files that the size cap refuses; no content is read."""
+    return listing(spark, path, suffixes).where(F.col("length") > max_bytes).select("path", "length")
+
+
+def read_text_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """Whole text files of the accepted suffixes within the size cap, as ``doc_id, path, text``; content of larger files isn't read.
+
+    Bytes that are not UTF-8 become U+FFFD. Files without any byte give no row. ``too_large`` lists what the cap leaves out.
+    """
+    files = listing(spark, path, suffixes).where(F.col("length") <= max_bytes)
+    return files.select(F.xxhash64("path").alias("doc_id"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))

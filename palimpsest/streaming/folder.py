@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.stage import discarded
 from ..operators.detect import detect, entities
 from ..plans.pipeline import redact
 from ..sources.units import units
@@ -28,7 +29,8 @@ def redact_stream(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        redact(batch).redacted.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with discarded():
+            redact(batch).redacted.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -9,7 +9,7 @@ from palimpsest.sources.annotations import parse_annotations
 from palimpsest.sources.docx import PIXEL, docx_units, rewrite_docx
 from palimpsest.streaming.folder import expired, incoming, redact_stream
 
-W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
 
 def paragraph(*runs):
@@ -20,26 +20,30 @@ def word_file():
     body = paragraph("Write to ", "ann.lee@corp.org") + paragraph(" ") + f"<w:tbl><w:tr><w:tc>{paragraph('Order 12')}</w:tc><w:tc>{paragraph('bob@corp.org')}</w:tc></w:tr></w:tbl>"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f"<w:document {W}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/document.xml", f"<w:document {W}><w:body>{body}<w:sectPr><w:headerReference w:type='default' r:id='h'/></w:sectPr><w:sectPr/></w:body></w:document>")
         z.writestr("word/header1.xml", f"<w:hdr {W}>{paragraph('Head')}</w:hdr>")
-        z.writestr("word/_rels/document.xml.rels", '<Relationships xmlns="x"><Relationship Id="a" Type="http://x/image" Target="media/a.png"/></Relationships>')
+        z.writestr("word/_rels/document.xml.rels", '<Relationships xmlns="x"><Relationship Id="a" Type="http://x/image" Target="media/a.png"/><Relationship Id="h" Type="http://x/header" Target="header1.xml"/></Relationships>')
         z.writestr("word/media/a.png", b"picture")
+        z.writestr("word/media/header.png", b"not of the main part")
     return out.getvalue()
 
 
 def test_docx_units_rewrite_and_images(spark):
     files = spark.createDataFrame([(1, bytearray(word_file())), (2, bytearray(b"no archive"))], "doc_id long, content binary")
     units = docx_units(files)
-    want = [(1, 0, "body", "Write to ann.lee@corp.org"), (1, 1, "body/table0[r0,c0]", "Order 12"), (1, 2, "body/table0[r0,c1]", "bob@corp.org"), (1, 3, "header0", "Head")]
+    want = [(1, 0, "body", "Write to ann.lee@corp.org"), (1, 1, "body/table0[r0,c0]", "Order 12"), (1, 2, "body/table0[r0,c1]", "bob@corp.org"), (1, 3, "section0/header", "Head"), (1, 4, "section1/header", "Head")]
     assert sorted(map(tuple, units.collect())) == want
     done = redact_units(units)
-    back = rewrite_docx(files.where("doc_id = 1"), done.redacted)
+    back = rewrite_docx(files, done.redacted)
+    bad = back.where("doc_id = 2").first()
+    assert bad.content is None and "BadZipFile" in bad.error
+    back = back.where("doc_id = 1")
     row = back.first()
     assert (row.images_found, row.images_blanked) == (1, 1)
     again = {r.unit: r.text for r in docx_units(back.select("doc_id", "content")).collect()}
-    assert again == {0: "Write to user1@example.com", 1: "Order 12", 2: "user2@example.com", 3: "Head"}
+    assert again == {0: "Write to user1@example.com", 1: "Order 12", 2: "user2@example.com", 3: "Head", 4: "Head"}
     with zipfile.ZipFile(io.BytesIO(row.content)) as z:
-        assert z.read("word/media/a.png") == PIXEL
+        assert z.read("word/media/a.png") == PIXEL and z.read("word/media/header.png") == b"not of the main part"
 
 
 def test_annotations_bare_and_scoped(spark):
