@@ -1,4 +1,7 @@
-"""The scalar rules as named SQL functions of a session, for ``spark.sql``; all are SQL expressions that Catalyst inlines."""
+"""The scalar rules as named SQL functions of a session, for ``spark.sql``; all are SQL expressions that Catalyst inlines.
+
+Those that end in ``_candidates`` give what a pattern matches; guards, trimming and plausibility are the detectors' (``operators.detect``).
+"""
 
 from __future__ import annotations
 
@@ -25,11 +28,11 @@ FUNCTIONS = {
     "pii_eval_key": ("txt STRING", "STRING", "lower(btrim(trim(regexp_replace(translate(txt, '–—−', '---'), '\\\\s+', ' ')), '.,;:()[]\"\\''))"),
     "pii_emails": ("txt STRING", "ARRAY<STRING>", _all(L.EMAIL)),
     "pii_phones": ("txt STRING", "ARRAY<STRING>", _all(L.PHONE)),
-    "pii_ssns": ("txt STRING", "ARRAY<STRING>", _all(L.SSN)),
-    "pii_cards": ("txt STRING", "ARRAY<STRING>", f"filter({_all(L.CREDIT_CARD)}, c -> length(regexp_replace(c, '[^0-9]', '')) BETWEEN 13 AND 19 AND luhn_check(regexp_replace(c, '[^0-9]', '')))"),
-    "pii_ip_addresses": ("txt STRING", "ARRAY<STRING>", _all(L.IP_ADDRESS)),
+    "pii_ssn_candidates": ("txt STRING", "ARRAY<STRING>", _all(L.SSN)),
+    "pii_card_candidates": ("txt STRING", "ARRAY<STRING>", f"filter({_all(L.CREDIT_CARD)}, c -> length(regexp_replace(c, '[^0-9]', '')) BETWEEN 13 AND 19 AND luhn_check(regexp_replace(c, '[^0-9]', '')))"),
+    "pii_ip_candidates": ("txt STRING", "ARRAY<STRING>", _all(L.IP_ADDRESS)),
     "pii_pans": ("txt STRING", "ARRAY<STRING>", _all(L.PAN)),
-    "pii_companies": ("txt STRING", "ARRAY<STRING>", _all(L.COMPANY)),
+    "pii_company_candidates": ("txt STRING", "ARRAY<STRING>", _all(L.COMPANY)),
     "pii_role": ("txt STRING", "STRING", f"nullif(regexp_extract(txt, {literal(L.ROLE)}, 1), '')"),
     "pii_plausible_company": (
         "txt STRING",

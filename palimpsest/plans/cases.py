@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.spans import ENTITY, entity, numbered, piece
-from ..operators import blocks, detect, evaluate, identity, overlap, propagate, surrogates
+from ..functions import lexicons as L
+from ..operators import blocks, detect, evaluate, identity, names, overlap, propagate, surrogates
 
 
 def keys(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
@@ -155,6 +156,34 @@ def ner_gazetteer(spark, sf_dir):
     return found(propagate.gazetteer(detect.detect(of), names), "unit", "type", "text", "start")
 
 
+def all_names(spark: SparkSession) -> DataFrame:
+    """Every first name with every last name, as a provider's list."""
+    return spark.createDataFrame([(f"{a} {b}", "PERSON") for a in L.FIRST_NAMES for b in L.LAST_NAMES], "value string, type string")
+
+
+def provided_identities(spark, sf_dir):
+    """A name that a provider finds three times and propagation a fourth time, within a word; every third key says it of two people."""
+    name = F.concat_ws(" ", pick(L.FIRST_NAMES), pick(L.LAST_NAMES, "k div 20"))
+    role = F.when(F.col("k") % 3 == 0, F.lit("Treasurer")).otherwise(F.lit("Director"))
+    of = lines(customers(spark, sf_dir), F.concat(F.lit("met "), name, F.lit(", Director, today")), F.concat(name, F.lit(", "), role, F.lit(", wrote")), F.concat(F.lit("then "), name, F.lit(" rang")), F.concat(F.lit("on "), name, F.lit("s, "), role, F.lit(", again")))
+    people = propagate.propagate(names.with_names(detect.detect(of, resolved=False), names.of_names(all_names(spark))))
+    e = identity.resolve_identities(detect.entities(people))
+    return e.select("doc_id", F.col("unit").cast("long").alias("unit"), "text", F.col("start").cast("long").alias("start"), "source", "ctx")
+
+
+def carrier_cells(spark, sf_dir):
+    """A provider that sees names only within a sentence, on cells of a name, of a role, and on lines too long for a second try."""
+    name = F.concat_ws(" ", pick(L.FIRST_NAMES), pick(L.LAST_NAMES, "k div 20"))
+    of = lines(customers(spark, sf_dir), name, F.lit("Managing Director"), F.concat(name, F.lit(" " + "x" * 60)))
+    known = names.of_names(all_names(spark))
+
+    def model(asked: DataFrame) -> DataFrame:
+        return known(asked.where(F.startswith(F.col("text"), F.lit("Contact person: "))))
+
+    e = names.provided(of, model)
+    return e.select("doc_id", F.col("unit").cast("long").alias("unit"), F.col("e.text").alias("text"), F.col("e.start").cast("long").alias("start"))
+
+
 #: Words before a name, after it, and the role and company that they give it.
 SAID = [("", ", CFO, signed", "chief financial officer", ""), ("Director ", " signed", "director", ""), ("", ", Managing Director at Amber Valley Foods Limited", "managing director", "amber valley foods limited"), ("", " signed", "", ""), ("", ", Director & Partner", "director & partner", "")]
 
@@ -230,7 +259,7 @@ def eval_scope(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (guard_rejections, resolve_overlaps, address_tail, address_guards, address_multiline, contact_persons, split_person_list, plausible_person, plausible_company, clean_company_span, vocabulary, propagate_known, ner_gazetteer, person_context, context_conflict, identity_clusters, identity_resolution, email_person_link, eval_dedupe, eval_phone, eval_address, eval_scope)}
+    return {f.__name__: f for f in (guard_rejections, resolve_overlaps, address_tail, address_guards, address_multiline, contact_persons, split_person_list, plausible_person, plausible_company, clean_company_span, vocabulary, propagate_known, ner_gazetteer, provided_identities, carrier_cells, person_context, context_conflict, identity_clusters, identity_resolution, email_person_link, eval_dedupe, eval_phone, eval_address, eval_scope)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -266,6 +295,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT k AS doc_id, 0::bigint AS unit, 'COMPANY' AS type, {firm} AS text, 12::bigint AS start FROM {CUSTOMERS}
             UNION ALL SELECT k, 1, 'COMPANY', upper({firm}), 7 FROM {CUSTOMERS}""",
         "ner_gazetteer": f"SELECT k AS doc_id, 0::bigint AS unit, {pick_sql(['PERSON', 'PERSON', '', 'COMPANY'])} AS type, {pick_sql([*FIRST, 'BROOK VALLEY'])} AS text, 10::bigint AS start FROM {CUSTOMERS} WHERE k % 4 <> 2",
+        "provided_identities": f"""
+            WITH n AS (SELECT k, {pick_sql(L.FIRST_NAMES)} || ' ' || {pick_sql(L.LAST_NAMES, "k // 20")} AS name FROM {CUSTOMERS})
+            SELECT k AS doc_id, unit, name AS text, start, source, CASE WHEN k % 3 = 0 THEN ctx END AS ctx
+            FROM n, (VALUES (0::bigint, 4::bigint, 'ner', '#0'), (1, 0, 'ner', '#1'), (2, 5, 'ner', '#0'), (3, 3, 'propagated', '#1')) u(unit, start, source, ctx)""",
+        "carrier_cells": f"SELECT k AS doc_id, 0::bigint AS unit, {pick_sql(L.FIRST_NAMES)} || ' ' || {pick_sql(L.LAST_NAMES, 'k // 20')} AS text, 0::bigint AS start FROM {CUSTOMERS}",
         "person_context": f"SELECT k, {pick_sql([s[2] for s in SAID])} AS role, {pick_sql([s[3] for s in SAID])} AS org FROM {CUSTOMERS}",
         "context_conflict": f"""
             WITH c AS (SELECT k, {a} AS a, {b} AS b, {x} AS x, {y} AS y FROM {ORDERS})

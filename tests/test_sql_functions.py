@@ -25,5 +25,5 @@ def test_functions_agree_with_columns(spark):
 def test_lists_and_roles(spark):
     register(spark)
     text = "Ann Lee, CFO of Amber Foods Limited: a.b@c.org, +1 (743) 555-3824, 10.0.0.7, 4111111111111111, 123-45-6789, ABCDE1234F"
-    row = spark.createDataFrame([(text,)], "t string").selectExpr("pii_emails(t)", "pii_phones(t)", "pii_ip_addresses(t)", "pii_cards(t)", "pii_ssns(t)", "pii_pans(t)", "pii_companies(t)", "pii_role(t)", "pii_contexts_conflict('director', '', 'treasurer', '')").first()
+    row = spark.createDataFrame([(text,)], "t string").selectExpr("pii_emails(t)", "pii_phones(t)", "pii_ip_candidates(t)", "pii_card_candidates(t)", "pii_ssn_candidates(t)", "pii_pans(t)", "pii_company_candidates(t)", "pii_role(t)", "pii_contexts_conflict('director', '', 'treasurer', '')").first()
     assert tuple(row) == (["a.b@c.org"], ["+1 (743) 555-3824"], ["10.0.0.7"], ["4111111111111111"], ["123-45-6789"], ["ABCDE1234F"], ["Amber Foods Limited"], "CFO", True)
