@@ -21,8 +21,30 @@ def find(text: Column, pattern: str | Column, marked: str | Column = f"{OPEN}$0{
     The pattern is tried first as a plain predicate, so units without a match cost one search and no interpreted lambda.
     ``gate``: a cheaper condition that every match implies, tried before the pattern.
     """
+    # every second part is a match; parts go in chunks, so that arrays grow within a chunk only, however many matches a line has
     parts = F.split(F.regexp_replace(text, pattern, marked), f"[{OPEN}{CLOSE}]")
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("on"), empty(SPAN).alias("out"))
+    few = F.size(parts) <= CHUNK
+    starts = F.sequence(F.lit(0), F.size(parts) - 1, F.lit(CHUNK))
+    chunks = F.transform(starts, lambda i: F.slice(parts, i + 1, CHUNK))
+    ends = F.aggregate(F.transform(chunks, _shown), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    many = F.flatten(F.transform(F.arrays_zip(chunks.alias("c"), ends.alias("e")), lambda x: F.coalesce(_spans(x["c"], x["e"]), empty(SPAN))))
+
+    matches = F.rlike(text, pattern if isinstance(pattern, Column) else F.lit(pattern))
+    found = matches if gate is None else gate & matches
+    return F.when(found, F.when(few, _spans(parts, F.lit(0))).otherwise(many)).otherwise(empty(SPAN))
+
+
+#: Parts of one chunk of a marked text, an even number: its first part is none of the matches.
+CHUNK = 512
+
+
+def _shown(parts: Column) -> Column:
+    """Characters of parts without inner marks."""
+    return F.length(F.replace(F.array_join(parts, ""), F.lit(INNER), F.lit("")))
+
+
+def _spans(parts: Column, at: Column) -> Column:
+    """The spans of the parts at odd places; the first part begins at offset ``at``."""
 
     def step(acc, x):
         clean = F.replace(x, F.lit(INNER), F.lit(""))
@@ -31,9 +53,8 @@ def find(text: Column, pattern: str | Column, marked: str | Column = f"{OPEN}$0{
         span = F.struct(clean.alias("text"), acc["pos"].alias("start"), end.alias("end"), inner.alias("mark")).cast(SPAN)
         return F.struct(end.alias("pos"), (~acc["on"]).alias("on"), F.when(acc["on"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    matches = F.rlike(text, pattern if isinstance(pattern, Column) else F.lit(pattern))
-    found = matches if gate is None else gate & matches
-    return F.when(found, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(empty(SPAN))
+    start = F.struct(at.cast("int").alias("pos"), F.lit(False).alias("on"), empty(SPAN).alias("out"))
+    return F.aggregate(parts, start, step, lambda acc: acc["out"])
 
 
 def piece(text: Column, start: Column, end: Column) -> Column:

@@ -117,8 +117,17 @@ def rewrite(detected: DataFrame, ents: DataFrame, ids: DataFrame) -> DataFrame:
     mention = ents.select("doc_id", "unit", "start", "end", "type", key_of(F.col("type"), F.col("text")).alias("key"), ctx.alias("ctx"))
     put = mention.join(ids.select("doc_id", "type", "key", "ctx", "fake"), ["doc_id", "type", "key", "ctx"])
     cuts = put.groupBy("doc_id", "unit").agg(F.array_sort(F.collect_list(F.struct("start", "end", "fake"))).alias("cuts"))
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
     text = F.col("text")
-    fold = F.aggregate("cuts", start, lambda a, c: F.struct(c["end"].alias("pos"), F.concat(a["out"], F.substring(text, a["pos"] + 1, c["start"] - a["pos"]), c["fake"]).alias("out")), lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))))
+
+    def filled(gap) -> Column:
+        """The gaps before the cuts, each with its stand-in, then the rest: joined once."""
+        last = F.element_at("cuts", -1)["end"]
+        pieces = F.transform("cuts", lambda c, i: F.concat(gap(F.when(i == 0, F.lit(0)).otherwise(F.get("cuts", i - 1)["end"]), c["start"]), c["fake"]))
+        return F.concat(F.array_join(pieces, ""), gap(last, F.length(text)))
+
+    # offsets are bytes too where all characters are ASCII, and bytes are cut without counting from the text's start
+    data = text.cast("binary")
+    ascii_ = F.octet_length(text) == F.length(text)
+    fold = F.when(ascii_, filled(lambda a, b: F.substring(data, a + 1, b - a).cast("string"))).otherwise(filled(lambda a, b: F.substring(text, a + 1, b - a)))
     units = detected.select("doc_id", "unit", "text").join(cuts, ["doc_id", "unit"], "left")
     return units.select("doc_id", "unit", "text", F.when(F.col("cuts").isNull(), text).otherwise(fold).alias("redacted"))
