@@ -112,7 +112,10 @@ def mapping(ids: DataFrame) -> DataFrame:
 
 
 def rewrite(detected: DataFrame, ents: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, unit, text, redacted``: each unit with its entities replaced; the gaps stay as they are."""
+    """``doc_id, unit, text, redacted``: each unit with its entities replaced; the gaps stay as they are.
+
+    ``ents`` are the entities of ``detected``; the texts of units without any stay where they are.
+    """
     ctx = F.coalesce(F.when(F.col("type") == "PERSON", F.col("ctx")), F.lit("")) if "ctx" in ents.columns else F.lit("")
     mention = ents.select("doc_id", "unit", "start", "end", "type", key_of(F.col("type"), F.col("text")).alias("key"), ctx.alias("ctx"))
     put = mention.join(ids.select("doc_id", "type", "key", "ctx", "fake"), ["doc_id", "type", "key", "ctx"])
@@ -129,5 +132,6 @@ def rewrite(detected: DataFrame, ents: DataFrame, ids: DataFrame) -> DataFrame:
     data = text.cast("binary")
     ascii_ = F.octet_length(text) == F.length(text)
     fold = F.when(ascii_, filled(lambda a, b: F.substring(data, a + 1, b - a).cast("string"))).otherwise(filled(lambda a, b: F.substring(text, a + 1, b - a)))
-    units = detected.select("doc_id", "unit", "text").join(cuts, ["doc_id", "unit"], "left")
-    return units.select("doc_id", "unit", "text", F.when(F.col("cuts").isNull(), text).otherwise(fold).alias("redacted"))
+    plain = detected.where("coalesce(size(ents), 0) <= 0").select("doc_id", "unit", "text", text.alias("redacted"))
+    units = detected.where("size(ents) > 0").select("doc_id", "unit", "text").join(cuts, ["doc_id", "unit"], "left")
+    return plain.unionByName(units.select("doc_id", "unit", "text", F.when(F.col("cuts").isNull(), text).otherwise(fold).alias("redacted")))

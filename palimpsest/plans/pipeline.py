@@ -43,14 +43,15 @@ class Cancelled(Exception):
 
 def redact(docs: DataFrame, names: DataFrame | None = None, stitched: bool = True, **how) -> Redaction:
     """``redact_units`` of the non-blank lines of ``docs`` (doc_id, text)."""
-    return redact_units(units(docs), names, stitched, **how)
+    return redact_units(units(docs, coded=stitched), names, stitched, **how)
 
 
 def redact_units(of: DataFrame, names: DataFrame | None = None, stitched: bool = True, *, provider: Provider | None = None, seed: int = SEED, progress: Callable[[str, float], None] | None = None) -> Redaction:
     """``provider`` finds people and companies (``names``, rows of value and type, makes one); with it known names are propagated too.
 
     What the rules and the provider find is resolved together. Detection, which several steps read, is written once to the shared
-    folder, and once more when stitching or propagation changed it. ``progress`` is told each step and the share done
+    folder, and once more when propagation changed it. Stitching moves and writes again only the units whose ``code`` is not false
+    (``sources.units``; all where ``of`` has no such column). ``progress`` is told each step and the share done
     before it begins, and may raise ``Cancelled``; tables written by then are deleted.
     """
     tell = progress or (lambda step, share: None)
@@ -65,7 +66,11 @@ def redact_units(of: DataFrame, names: DataFrame | None = None, stitched: bool =
             found = materialize(with_names(raw, provider), "detected")
         if stitched:
             tell("Linking addresses across paragraphs", 0.78)
-            found = materialize(stitch(found), "stitched")
+            if "code" in found.columns:
+                coded = F.coalesce("code", F.lit(True))
+                found = found.where(~coded).unionByName(materialize(stitch(found.where(coded)), "stitched")).drop("code")
+            else:
+                found = materialize(stitch(found), "stitched")
         if provider is not None:
             tell("Finding repeated mentions", 0.82)
             found = materialize(propagate(found), "propagated")

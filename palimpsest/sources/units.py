@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
 from ..functions.spans import CLOSE, INNER, OPEN
 
 LINE_BREAKS = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\u2028\u2029]"
 
 
-def units(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """``doc_id, unit, location, text``: one row a non-blank line; no shuffle. Marks used inside the engine become U+FFFD."""
+#: What every postcode contains; a search for it is much cheaper.
+CODE_GATE = r"[0-9](?:[0-9]{2}\s?[0-9]{2}|[A-Z])"
+
+
+def units(docs: DataFrame, text: str = "text", id_: str = "doc_id", coded: bool = False) -> DataFrame:
+    """``doc_id, unit, location, text``: one row a non-blank line; no shuffle. Marks used inside the engine become U+FFFD.
+
+    ``coded`` adds ``code``: whether anything like a postcode stands in the document, without which no address is split over its lines.
+    """
     clean = F.translate(F.col(text), OPEN + CLOSE + INNER, "\ufffd" * 3)
     lines = F.filter(F.split(clean, LINE_BREAKS, -1), lambda x: x.rlike(r"(?U)\S"))
-    return docs.select(F.col(id_).alias("doc_id"), F.posexplode(lines).alias("unit", "text")).select("doc_id", "unit", F.lit("body").alias("location"), "text")
+    more = {"code": F.col(text).rlike(CODE_GATE) & F.col(text).rlike(L.POSTCODE)} if coded else {}
+    # the lines are a projection of their own, so that what is said of a document isn't worked out again for each of them
+    made = docs.select(F.col(id_).alias("doc_id"), *(c.alias(n) for n, c in more.items()), lines.alias("_lines"))
+    return made.select("doc_id", *more, F.posexplode("_lines").alias("unit", "text")).select("doc_id", "unit", F.lit("body").alias("location"), "text", *more)
 
 
 def spread(df: DataFrame) -> DataFrame:
