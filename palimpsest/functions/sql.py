@@ -27,7 +27,7 @@ FUNCTIONS = {
     "pii_key": ("kind STRING, txt STRING", "STRING", "CASE WHEN kind = 'PHONE' THEN regexp_replace(txt, '[^0-9]', '') ELSE lower(trim(regexp_replace(txt, '\\\\s+', ' '))) END"),
     "pii_eval_key": ("txt STRING", "STRING", "lower(btrim(trim(regexp_replace(translate(txt, '–—−', '---'), '\\\\s+', ' ')), '.,;:()[]\"\\''))"),
     "pii_emails": ("txt STRING", "ARRAY<STRING>", _all(L.EMAIL)),
-    "pii_phones": ("txt STRING", "ARRAY<STRING>", _all(L.PHONE)),
+    "pii_phones": ("txt STRING", "ARRAY<STRING>", _all("(?U)" + L.PHONE)),
     "pii_ssn_candidates": ("txt STRING", "ARRAY<STRING>", _all(L.SSN)),
     "pii_card_candidates": ("txt STRING", "ARRAY<STRING>", f"filter({_all(L.CREDIT_CARD)}, c -> length(regexp_replace(c, '[^0-9]', '')) BETWEEN 13 AND 19 AND luhn_check(regexp_replace(c, '[^0-9]', '')))"),
     "pii_ip_candidates": ("txt STRING", "ARRAY<STRING>", _all(L.IP_ADDRESS)),

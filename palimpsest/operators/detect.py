@@ -9,11 +9,11 @@ from ..functions import lexicons as L
 from ..functions import predicates as P
 from ..functions.spans import CLOSE, ENTITY, INNER, OPEN, SPAN, before, empty, entity, find, numbered, once, piece
 
-RULES = {"EMAIL": L.EMAIL, "PHONE": L.PHONE, "SSN": L.SSN, "CREDIT_CARD": L.CREDIT_CARD, "IP_ADDRESS": L.IP_ADDRESS, "PAN": L.PAN, "DIN": L.DIN}
+RULES = {"EMAIL": L.EMAIL, "PHONE": "(?U)" + L.PHONE, "SSN": L.SSN, "CREDIT_CARD": L.CREDIT_CARD, "IP_ADDRESS": L.IP_ADDRESS, "PAN": L.PAN, "DIN": L.DIN}
 
 
 #: What every match of a rule contains; a search for it is much cheaper than the rule.
-GATES = {"EMAIL": "@", "PHONE": r"\+\s?\d", "SSN": r"\d-\d\d-\d", "CREDIT_CARD": r"\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d", "IP_ADDRESS": r"\d\.\d", "PAN": r"[A-Z]{5}\d", "DIN": r"\d{8}"}
+GATES = {"EMAIL": "@", "PHONE": r"(?U)\+\s?\d", "SSN": r"\d-\d\d-\d", "CREDIT_CARD": r"\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d", "IP_ADDRESS": r"\d\.\d", "PAN": r"[A-Z]{5}\d", "DIN": r"\d{8}"}
 
 
 def guarded(type_: str, text: Column, start: Column) -> Column:
@@ -138,19 +138,20 @@ def rule_columns(text: Column) -> dict[str, Column]:
 def detect(units: DataFrame, resolved: bool = True) -> DataFrame:
     """Units with their entities ``ents``, resolved or all that the rules found; narrow, no shuffle.
 
-    The rules, their concatenation and the resolution are projections of their own, so that none is evaluated twice.
+    The rules, their concatenation and the resolution are projections of their own, so that none is evaluated twice. Rules are
+    tried only on units that any of them can match.
     """
     from .overlap import resolve
 
-    rules = rule_columns(F.col("text"))
-    found = units.withColumns(rules)
+    rules = {name: F.when(F.col("_may"), found).otherwise(empty(ENTITY)) for name, found in rule_columns(F.col("text")).items()}
+    found = units.withColumn("_may", once(may_hold(F.col("text")))).withColumns(rules)
     every = found.select(*units.columns, F.concat(*rules).alias("_all"))
     return every.select(*units.columns, numbered(F.col("_all")).alias("_all")).select(*units.columns, once(resolve(F.col("_all")) if resolved else F.col("_all")).alias("ents"))
 
 
 def may_hold(text: Column) -> Column:
-    """Whether any rule can match: each but the e-mail, contact and company rules needs a digit."""
-    return text.rlike("[0-9@]") | legal_form(text) | text.rlike(L.CONTACT_PERSON)
+    """Whether any rule can match: phones need a plus sign, the others but the e-mail, contact and company rules a digit."""
+    return text.rlike("[0-9@+]") | legal_form(text) | text.rlike(L.CONTACT_PERSON)
 
 
 def detected_entities(units: DataFrame) -> DataFrame:

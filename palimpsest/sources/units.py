@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.spans import CLOSE, INNER, OPEN
+from ..functions.spans import CLOSE, INNER, OPEN, once
 
 LINE_BREAKS = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\u2028\u2029]"
 
@@ -19,9 +19,10 @@ def units(docs: DataFrame, text: str = "text", id_: str = "doc_id", coded: bool
     """``doc_id, unit, location, text``: one row a non-blank line; no shuffle. Marks used inside the engine become U+FFFD.
 
     ``coded`` adds ``code``: whether anything like a postcode stands in the document, without which no address is split over its lines.
+    Conditions on documents belong before this: lines are cut once, behind which Catalyst moves no filter (``spans.once``).
     """
     clean = F.translate(F.col(text), OPEN + CLOSE + INNER, "\ufffd" * 3)
-    lines = F.filter(F.split(clean, LINE_BREAKS, -1), lambda x: x.rlike(r"(?U)\S"))
+    lines = once(F.filter(F.split(clean, LINE_BREAKS, -1), lambda x: x.rlike("[!-~]") | x.rlike(r"(?U)\S")))
     more = {"code": F.col(text).rlike(CODE_GATE) & F.col(text).rlike(L.POSTCODE)} if coded else {}
     # the lines are a projection of their own, so that what is said of a document isn't worked out again for each of them
     made = docs.select(F.col(id_).alias("doc_id"), *(c.alias(n) for n, c in more.items()), lines.alias("_lines"))

@@ -182,3 +182,10 @@ def test_long_lines(spark):
         back = done.redacted.first().redacted
         assert back == "Start" + glue + glue.join(f"user{n - i}@example.com" for i in range(n)) + " 192.0.2.2"
         assert time.time() - began < 100
+
+
+def test_phone_gaps(spark):
+    """Gaps of a phone number may be any white space, and its digits any decimal ones; a line without them has no entity."""
+    lines = ["call +91\u00a098765\u00a043210 now", "call +\u0669\u0661 \u0669\u0668\u0667\u0666\u0665 \u0664\u0663\u0662\u0661\u0660 now", "call + now"]
+    got = [[e.text for e in r.ents] for r in detect(doc(spark, *lines)).orderBy("unit").collect()]
+    assert got == [["+91\u00a098765\u00a043210"], ["+\u0669\u0661 \u0669\u0668\u0667\u0666\u0665 \u0664\u0663\u0662\u0661\u0660"], []]
