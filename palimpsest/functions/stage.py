@@ -32,6 +32,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join by sorting, never by broadcast: Spark's estimates count neither what ``explode`` nor what text expressions add to a
+    small table, so what it takes for small may not fit the driver. For sides that grow with the input."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _delete(written: list[tuple[SparkSession, str]]) -> None:
     while written:
         spark, path = written.pop()

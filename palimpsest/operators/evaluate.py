@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.predicates import digits, normalise_eval
+from ..functions.stage import sorted_join
 
 
 def dedupe(items: DataFrame) -> DataFrame:
@@ -44,10 +45,10 @@ def contained(p: DataFrame, t: DataFrame) -> DataFrame:
         return F.explode(F.array_distinct(F.flatten(F.array(*(pieces(key, n) for n in least)))))
 
     on = ["corpus", "type", "g"]
-    inside = p.withColumn("g", first("p_key")).join(t.withColumn("g", grams("t_key")), on).where(F.contains("t_key", "p_key"))
-    around = p.withColumn("g", grams("p_key")).join(t.withColumn("g", first("t_key")), on).where(F.contains("p_key", "t_key"))
+    inside = sorted_join(p.withColumn("g", first("p_key")), t.withColumn("g", grams("t_key")), on).where(F.contains("t_key", "p_key"))
+    around = sorted_join(p.withColumn("g", grams("p_key")), t.withColumn("g", first("t_key")), on).where(F.contains("p_key", "t_key"))
     # an empty key stands in every other one
-    none = p.where("p_key = ''").join(t, ["corpus", "type"]).unionByName(p.join(t.where("t_key = ''"), ["corpus", "type"]))
+    none = sorted_join(p.where("p_key = ''"), t, ["corpus", "type"]).unionByName(sorted_join(p, t.where("t_key = ''"), ["corpus", "type"]))
     return inside.drop("g").unionByName(around.drop("g")).unionByName(none).distinct()
 
 
@@ -61,12 +62,12 @@ def outcomes(predictions: DataFrame, annotations: DataFrame) -> DataFrame:
     t = truth.select("corpus", "type", F.col("ord").alias("t_ord"), F.col("text").alias("t_text"), F.col("key").alias("t_key"))
     p = pred.select("corpus", "type", F.col("ord").alias("p_ord"), F.col("text").alias("p_text"), F.col("key").alias("p_key"))
     usable = (F.col("type") != "PHONE") | (F.length("t_key") >= L.PHONE_DIGITS)
-    exact = p.where("type <> 'ADDRESS'").join(t.where(usable).withColumnRenamed("t_key", "p_key"), ["corpus", "type", "p_key"]).select("corpus", "type", "p_ord", "t_ord")
+    exact = sorted_join(p.where("type <> 'ADDRESS'"), t.where(usable).withColumnRenamed("t_key", "p_key"), ["corpus", "type", "p_key"]).select("corpus", "type", "p_ord", "t_ord")
     parts = contained(p.where("type = 'ADDRESS'"), t.where("type = 'ADDRESS'"))
     met = exact.unionByName(parts.groupBy("corpus", "type", "p_ord").agg(F.min("t_ord").alias("t_ord")))
     found = met.select("corpus", "type", "t_ord").distinct().withColumn("_hit", F.lit(True))
-    of_truth = t.join(found, ["corpus", "type", "t_ord"], "left").select("corpus", "type", F.col("t_ord").alias("ord"), F.col("t_text").alias("text"), F.when(F.col("_hit"), "tp").otherwise("fn").alias("outcome"))
-    extra = p.join(met, ["corpus", "type", "p_ord"], "left_anti").select("corpus", "type", F.col("p_ord").alias("ord"), F.col("p_text").alias("text"), F.lit("fp").alias("outcome"))
+    of_truth = sorted_join(t, found, ["corpus", "type", "t_ord"], "left").select("corpus", "type", F.col("t_ord").alias("ord"), F.col("t_text").alias("text"), F.when(F.col("_hit"), "tp").otherwise("fn").alias("outcome"))
+    extra = sorted_join(p, met, ["corpus", "type", "p_ord"], "left_anti").select("corpus", "type", F.col("p_ord").alias("ord"), F.col("p_text").alias("text"), F.lit("fp").alias("outcome"))
     return of_truth.unionByName(extra)
 
 
