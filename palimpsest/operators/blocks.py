@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.spans import ENTITY, INNER, entity, numbered, piece
+from ..functions.stage import sorted_join
 from .detect import address_tail, postcode_valid
 from .overlap import resolve
 
@@ -59,7 +60,7 @@ def multiline_addresses(detected: DataFrame) -> DataFrame:
 def merge(detected: DataFrame, extra: DataFrame, resolved: bool = True) -> DataFrame:
     """Detected units with further entities (doc_id, unit, e) resolved among theirs; ``resolved``: whether theirs are already."""
     more = extra.groupBy("doc_id", "unit").agg(F.array_sort(F.collect_list("e")).alias("_more"))
-    both = detected.join(more, ["doc_id", "unit"], "left").withColumn("_all", numbered(F.concat("ents", F.coalesce("_more", F.array().cast(f"array<{ENTITY}>")))))
+    both = sorted_join(detected, more, ["doc_id", "unit"], "left").withColumn("_all", numbered(F.concat("ents", F.coalesce("_more", F.array().cast(f"array<{ENTITY}>")))))
     return both.select(*[c for c in detected.columns if c != "ents"], (F.when(F.col("_more").isNull(), F.col("ents")).otherwise(resolve(F.col("_all"))) if resolved else resolve(F.col("_all"))).alias("ents"))
 
 

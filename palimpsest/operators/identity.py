@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import contexts_conflict, normalise
+from ..functions.stage import sorted_join
 
 GROUP = "struct<role:string,org:string>"
 
@@ -37,4 +38,4 @@ def resolve_identities(ents: DataFrame) -> DataFrame:
     role, org = F.coalesce("role", F.lit("")), F.coalesce("org", F.lit(""))
     free = F.transform("groups", lambda g: ~contexts_conflict(g["role"], g["org"], role, org))
     at = F.greatest(F.array_position(free, F.lit(True)).cast("int") - 1, F.lit(0))
-    return named.join(known, ["doc_id", "_name"], "left").withColumn("ctx", F.when(F.col("groups").isNotNull(), F.concat(F.lit("#"), at.cast("string")))).drop("_name", "groups")
+    return sorted_join(named, known, ["doc_id", "_name"], "left").withColumn("ctx", F.when(F.col("groups").isNotNull(), F.concat(F.lit("#"), at.cast("string")))).drop("_name", "groups")

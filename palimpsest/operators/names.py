@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import predicates as P
 from ..functions.spans import ENTITY, empty, entity, piece
+from ..functions.stage import materialize, sorted_join
 from .blocks import merge
 from .detect import split_people
 from .propagate import listed
@@ -33,7 +34,7 @@ def accepted(units: DataFrame, spans: DataFrame, offset: int = 0) -> DataFrame:
     Spans outside the text, of fewer than three characters and of public bodies leave; companies lose leading noise and
     need a legal form; people listed with slashes are split and each needs to look like a name.
     """
-    rows = units.select("doc_id", "unit", "text").join(spans.where(F.col("type").isin("PERSON", "COMPANY")), ["doc_id", "unit"])
+    rows = sorted_join(units.select("doc_id", "unit", "text"), spans.where(F.col("type").isin("PERSON", "COMPANY")), ["doc_id", "unit"])
     rows = rows.withColumns({"start": F.col("start") - offset, "end": F.col("end") - offset}).where((F.col("start") >= 0) & (F.col("end") <= F.length("text")))
     text, company = F.col("text"), F.col("type") == "COMPANY"
     raw = F.btrim(F.regexp_replace(piece(text, F.col("start"), F.col("end")), r"^\s+|\s+$", ""), F.lit(",;:"))
@@ -53,11 +54,14 @@ def accepted(units: DataFrame, spans: DataFrame, offset: int = 0) -> DataFrame:
 
 
 def provided(units: DataFrame, provider: Provider) -> DataFrame:
-    """``doc_id, unit, e``: what the provider finds in the units, then in a carrier sentence around short units without a person."""
+    """``doc_id, unit, e``: what the provider finds in the units, then in a carrier sentence around short units without a person.
+
+    The first is read twice, so it is written once: a provider is asked once, and the plan stays short.
+    """
     plain = units.select("doc_id", "unit", "text")
-    found = accepted(plain, provider(plain))
+    found = materialize(accepted(plain, provider(plain)), "provided")
     named = found.where("e.type = 'PERSON'").select("doc_id", "unit").distinct()
-    short = plain.where(F.length("text") <= L.CARRIER_MAX).join(named, ["doc_id", "unit"], "left_anti")
+    short = sorted_join(plain.where(F.length("text") <= L.CARRIER_MAX), named, ["doc_id", "unit"], "left_anti")
     carried = short.withColumn("text", F.concat(F.lit(L.CARRIER_BEFORE), F.col("text"), F.lit(L.CARRIER_AFTER)))
     return found.unionByName(accepted(short, provider(carried), len(L.CARRIER_BEFORE)))
 

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import predicates as P
 from ..functions.spans import CLOSE, OPEN, entity, find
+from ..functions.stage import sorted_join
 from .blocks import merge
 from .detect import entities
 
 
+#: Most names of a list that are sent to all workers; a longer list is joined by sorting.
+MAX_SENT = 50_000
+
+
 def vocabulary(detected: DataFrame) -> DataFrame:
     """``doc_id, value, type`` of people and companies of six characters or more; the last mention decides the type."""
     e = entities(detected).where(F.col("type").isin("PERSON", "COMPANY") & (F.length("text") >= L.MIN_PROPAGATED))
@@ -20,7 +25,7 @@ def vocabulary(detected: DataFrame) -> DataFrame:
 
 def occurrences(units: DataFrame, vocab: DataFrame, source: str = "propagated") -> DataFrame:
     """``doc_id, unit, e``: each place where a known value stands in a unit of its document, in any case."""
-    hits = units.select("doc_id", "unit", "text").join(vocab, "doc_id").where(F.contains(F.lower("text"), F.lower("value")))
+    hits = sorted_join(units.select("doc_id", "unit", "text"), vocab, "doc_id").where(F.contains(F.lower("text"), F.lower("value")))
     pattern = F.concat(F.lit(r"(?iu)\Q"), F.replace(F.col("value"), F.lit(r"\E"), F.lit("")), F.lit(r"\E"))
     spans = find(F.col("text"), pattern, F.lit(f"{OPEN}$0{CLOSE}"))
     return named(hits.select("doc_id", "unit", "text", "type", F.explode(spans).alias("s")), source)
@@ -44,14 +49,17 @@ def gazetteer(detected: DataFrame, names: DataFrame) -> DataFrame:
     return merge(detected, named(listed(detected, names), "ner"))
 
 
-def listed(units: DataFrame, names: DataFrame) -> DataFrame:
+def listed(units: DataFrame, names: DataFrame, most_sent: int = MAX_SENT) -> DataFrame:
     """``doc_id, unit, text, type, s``: whole occurrences of listed names, in any case.
 
     Names meet units on their first word (lower case), an equi-join on ids and words; texts join the matching units once.
     """
     first = F.lower(F.element_at(F.split(F.trim("value"), r"\s+"), 1))
     words = units.select("doc_id", "unit", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}&.'-]+"))).alias("_w"))
-    met = words.join(names.select("value", "type", first.alias("_w")), "_w").select("doc_id", "unit", "value", "type").distinct()
-    rows = units.select("doc_id", "unit", "text").join(met, ["doc_id", "unit"]).where(F.contains(F.lower("text"), F.lower("value")))
+    known = names.select("value", "type", first.alias("_w"))
+    # the words grow with the input and must never be what is broadcast; the names are, if they are few
+    known = F.broadcast(known) if names.limit(most_sent + 1).count() <= most_sent else known.hint("merge")
+    met = words.join(known, "_w").select("doc_id", "unit", "value", "type").distinct()
+    rows = sorted_join(units.select("doc_id", "unit", "text"), met, ["doc_id", "unit"]).where(F.contains(F.lower("text"), F.lower("value")))
     pattern = F.concat(F.lit(r"(?iu)\b\Q"), F.replace(F.col("value"), F.lit(r"\E"), F.lit("")), F.lit(r"\E\b"))
     return rows.select("doc_id", "unit", "text", "type", F.explode(find(F.col("text"), pattern, F.lit(f"{OPEN}$0{CLOSE}"))).alias("s"))

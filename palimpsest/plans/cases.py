@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions.spans import ENTITY, entity, numbered, piece
 from ..functions import lexicons as L
+from ..functions.stage import materialize
 from ..operators import blocks, detect, evaluate, identity, names, overlap, propagate, surrogates
 
 
@@ -166,7 +167,10 @@ def provided_identities(spark, sf_dir):
     name = F.concat_ws(" ", pick(L.FIRST_NAMES), pick(L.LAST_NAMES, "k div 20"))
     role = F.when(F.col("k") % 3 == 0, F.lit("Treasurer")).otherwise(F.lit("Director"))
     of = lines(customers(spark, sf_dir), F.concat(F.lit("met "), name, F.lit(", Director, today")), F.concat(name, F.lit(", "), role, F.lit(", wrote")), F.concat(F.lit("then "), name, F.lit(" rang")), F.concat(F.lit("on "), name, F.lit("s, "), role, F.lit(", again")))
-    people = propagate.propagate(names.with_names(detect.detect(of, resolved=False), names.of_names(all_names(spark))))
+    # written step by step, as the whole run does
+    rules = materialize(detect.detect(of, resolved=False), "rules")
+    named = materialize(names.with_names(rules, names.of_names(all_names(spark))), "detected")
+    people = materialize(propagate.propagate(named), "propagated")
     e = identity.resolve_identities(detect.entities(people))
     return e.select("doc_id", F.col("unit").cast("long").alias("unit"), "text", F.col("start").cast("long").alias("start"), "source", "ctx")
 
