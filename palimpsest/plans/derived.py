@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stage import materialize
 from ..operators import detect, evaluate
 from ..operators.detect import detected_entities
 from ..sources import synthetic
-from ..sources.units import units
+from ..sources.units import spread, units
 
 
 def spans(df: DataFrame, key: str, text: str, found: Callable[[Column], Column]) -> DataFrame:
@@ -68,10 +69,13 @@ def evaluation_metrics(spark, sf_dir):
 
 
 def synthetic_quality(spark, sf_dir):
-    """Synthetic records of all customers, detected by the rules and scored against their truth; by type over all records."""
-    of = synthetic.records(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k")))
-    found = detected_entities(units(synthetic.documents(of))).withColumn("corpus", F.col("doc_id").cast("string"))
-    out, _ = evaluate.evaluate(found, synthetic.annotations(of))
+    """Synthetic records of all customers, detected by the rules and scored against their truth; by type over all records.
+
+    The keys are a small file that makes much text, so they are dealt over the cores; what the scoring reads several times is written once.
+    """
+    of = synthetic.records(spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"))))
+    found = detected_entities(units(synthetic.documents(of))).select(F.col("doc_id").cast("string").alias("corpus"), "unit", "start", "type", "text")
+    out, _ = evaluate.evaluate(materialize(found, "found"), materialize(synthetic.annotations(of), "annotations"))
     return evaluate.metrics(out.withColumn("corpus", F.lit("synthetic"))).select("type", "tp", "fp", "fn", "precision", "recall", "f1", "accuracy", "support")
 
 

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from palimpsest.operators import propagate
-from palimpsest.plans import cases
+from palimpsest.plans import cases, derived
 
 
 def plan(df) -> str:
@@ -27,3 +27,9 @@ def test_words_are_not_broadcast(spark, sf):
 
 def test_provided_identities_read_written_steps(spark, sf):
     assert len(plan(cases.provided_identities(spark, sf))) < 300_000
+
+
+def test_synthetic_records_are_detected_once(spark, sf):
+    """No rule is left in the plan of the scoring, however often it reads the entities."""
+    made = plan(derived.synthetic_quality(spark, sf))
+    assert "posexplode" not in made and len(made) < 300_000
