@@ -8,8 +8,8 @@ At similarity s a pair shares a key with probability (1 - (1 - s**rows)**groups)
    are one class; its smallest id represents it.
 2. Representatives are dealt by (key, id) ranges, so a key of any number of rows is spread over tasks; in each run of a key
    the others are paired with its first. Pairs whose min-hashes agree on fewer than ``AGREE`` of the places are dropped. In runs
-   whose documents the others don't connect, all are tried against each other; a run of more than ``RUN_DOCS`` is split by
-   bands of further min-hashes before that, level by level, so that no task holds more than ``RUN_DOCS`` of a run.
+   whose documents the others don't connect, all are tried against each other; a run of more than ``RUN_DOCS`` is dealt into
+   blocks for that and every pair of blocks is tried, so that no group holds more than about two blocks of a run.
 3. The pairs' components are clusters: they propose which texts may be alike. Within a cluster links are verified on the
    words themselves, never on hashes. A cluster of at most ``job_bytes`` of text is one job; its sets meet first with a few pivots and then,
    where they are not in the largest class yet, through an index of each set's rarest shingles (two sets that are alike
@@ -18,8 +18,7 @@ At similarity s a pair shares a key with probability (1 - (1 - s**rows)**groups)
 4. Components of the verified links are the near-duplicate classes.
 
 A link can be missed only if the two share no key, or their min-hashes agree on less than ``AGREE`` (five standard errors
-below 0.8) and nothing else connects their clusters, or they part in every band of the levels that a run of more than ``RUN_DOCS``
-went through (probability under 0.001 a level and run). Every pair of one cluster is covered exactly. Nothing is capped.
+below 0.8) and nothing else connects their clusters. Every pair of one cluster is covered exactly. Nothing is capped.
 
 Defined cases: null, empty and blank texts have the empty set and stay alone; texts of fewer words than the shingle have one
 shingle, all their words, and are alike if these are equal; of repeated rows of an id with different texts the one of most distinct shingles
@@ -41,10 +40,8 @@ from .text_kernels import LOWER, NOT_SPACE, blocks, buffers, distinct, hashes, m
 
 #: Least share of min-hashes on which a pair of candidates must agree to be clustered.
 AGREE = 0.55
-#: Most documents of a run that one task tries against each other.
+#: About how many documents of a run are tried against each other at once; larger runs are tried in pairs of blocks of this size.
 RUN_DOCS = 4096
-#: Bands of min-hash bytes that split larger runs: (bytes a band, bands) by level; 0.8 ** bytes and so many bands miss under 0.001.
-LEVELS = ((4, 14), (6, 24), (8, 38))
 #: Rounds of pivots that a set meets before the index is asked.
 PIVOTS = 3
 #: Buckets of the shingle counts by which clusters beyond one job order shingles; any order is exact, a good one is fast.
@@ -195,6 +192,14 @@ def candidate_pairs(reps: DataFrame, conf: NearDup, partitions: int) -> DataFram
     return pairs_of_runs(map_arrow(reps.select("doc_id", "bands"), keys, "key long, doc long"), partitions)
 
 
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Documents of ``x`` by documents of ``y``: whether their min-hashes agree on AGREE of the places or more."""
+    same = np.zeros((len(x), len(y)), np.uint8)  # at most 255 places
+    for p, q in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), strict=True):
+        same += p[:, None] == q[None, :]
+    return same >= int(np.ceil(AGREE * x.shape[1] - 1e-9))
+
+
 def run_forest(docs: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the documents of one run, two being linked if their min-hashes agree on AGREE of the places or more.
 
@@ -206,9 +211,9 @@ def run_forest(docs: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
         while len(front) and len(left):
             at, front = front[:64], front[64:]
             reached = []
-            for lo in range(0, len(left), 1024):
-                part = left[lo : lo + 1024]
-                ok = (sig[at][:, None, :] == sig[part][None]).mean(axis=2) >= AGREE
+            for lo in range(0, len(left), 4096):
+                part = left[lo : lo + 4096]
+                ok = agreement(sig[at], sig[part])
                 hit = ok.any(axis=0)
                 reached.append(hit)
                 out += zip(docs[part[hit]].tolist(), docs[at[ok.argmax(axis=0)[hit]]].tolist(), strict=True)
@@ -217,67 +222,91 @@ def run_forest(docs: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def cross_links(docs: np.ndarray, sig: np.ndarray, cls: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links between the two sides of a pair of blocks that connect, with the classes ``cls`` of before, all that agree across.
+
+    Documents of the commonest class aren't tried against each other: they are connected already.
+    """
+    names, cls, many = np.unique(cls, return_inverse=True, return_counts=True)
+    root, main = np.arange(len(names)), many.argmax()
+    out: list[tuple[int, int]] = []
+    left, right = np.flatnonzero(~side), np.flatnonzero(side)
+    for rows, cols in ((left[cls[left] == main], right[cls[right] != main]), (left[cls[left] != main], right)):
+        for i in range(0, len(rows), 64):
+            for j in range(0, len(cols), 4096):
+                at, part = rows[i : i + 64], cols[j : j + 4096]
+                x, y = np.nonzero(agreement(sig[at], sig[part]) & (root[cls[at]][:, None] != root[cls[part]][None, :]))
+                for d, e in zip(at[x].tolist(), part[y].tolist(), strict=True):
+                    a, b = root[cls[d]], root[cls[e]]
+                    if a != b:
+                        out.append((docs[d], docs[e]))
+                        root[root == b] = a
+    return out
+
+
+def _groups(batches, n_keys: int):
+    """(key, columns) of each group of equal leading columns of sorted batches; signatures, the column behind the keys and the document, as rows."""
+    now, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns) if i != n_keys + 1]
+        sig = np.frombuffer(b"".join(b.column(n_keys + 1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+        keys, rest = cols[:n_keys], cols[n_keys:]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            key = tuple(k[lo] for k in keys)
+            if held and key != now:
+                yield now, [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            now = key
+            held.append([rest[0][lo:hi], sig[lo:hi], *(r[lo:hi] for r in rest[1:])])
+    if held:
+        yield now, [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _linked(found: list[tuple[int, int]]):
+    if found:
+        f = np.array(found, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(f.max(axis=1)), pa.array(f.min(axis=1))], names=["a", "b"])
+
+
 def within_runs(members: DataFrame, sig: DataFrame, partitions: int) -> DataFrame:
-    """``a, b``: the forests of the runs of ``members`` (key, part, doc_id); the caller bounds the documents of a (key, part)."""
+    """``a, b``: the forests of the blocks of ``members`` (key, part, doc_id); the caller deals larger runs into blocks and tries them by ``across_parts`` too."""
     dealt = members.join(sig, "doc_id").select("key", "part", "doc_id", "sig").repartition(partitions, "key", "part").sortWithinPartitions("key", "part", "doc_id")
 
     def run(batches):
-        now, docs, sigs = None, [], []
-
-        def close():
-            found = run_forest(np.concatenate(docs), np.concatenate(sigs))
-            if found:
-                f = np.array(found, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(f.max(axis=1)), pa.array(f.min(axis=1))], names=["a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            k, p, d = (b.column(i).to_numpy() for i in range(3))
-            s = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(len(k), -1)
-            cuts = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]) | (p[1:] != p[:-1])) + 1, [len(k)]])
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if docs and (k[lo], p[lo]) != now:
-                    yield from close()
-                    docs, sigs = [], []
-                now = (k[lo], p[lo])
-                docs.append(d[lo:hi])
-                sigs.append(s[lo:hi])
-        if docs:
-            yield from close()
+        for _, (docs, sigs) in _groups(batches, 2):
+            yield from _linked(run_forest(docs, sigs))
 
     return map_arrow(dealt, run, "a long, b long")
 
 
-def split_keys(members: DataFrame, sig: DataFrame, level: int) -> DataFrame:
-    """``key, doc``: each member of a run under the run's key mixed with each of its bands of further min-hashes."""
-    width, bands = LEVELS[level]
+def across_parts(members: DataFrame, sig: DataFrame, so_far: DataFrame, partitions: int) -> DataFrame:
+    """``a, b``: links between any two blocks of a run of ``members`` (key, part, parts, doc_id): each pair of blocks is one task's group.
+
+    ``so_far``: ``node, component`` of what is connected already. Runs of one class have nothing to try.
+    """
+    known = members.join(so_far.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("cls", F.coalesce("component", "doc_id")).drop("component")
+    open_ = known.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    sides = known.join(open_, "key", "left_semi").join(sig, "doc_id").withColumn("other", other).where("other <> part")
+    sides = sides.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "doc_id", "sig", "cls", (F.col("part") > F.col("other")).alias("side"))
+    dealt = sides.repartition(partitions, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def run(batches):
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            s = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(n, -1)
-            key = b.column(0).to_numpy().view(_U)
-            places = np.random.default_rng(level).permuted(np.tile(np.arange(s.shape[1]), (bands, 1)), axis=1)[:, :width]
-            out = np.empty((n, bands), _U)
-            for j in range(bands):
-                h = mix(key + _U(j + 1000 * (level + 1)))
-                for place in places[j]:
-                    h = mix(h ^ s[:, place].astype(_U))
-                out[:, j] = h
-            yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(1).to_numpy(), bands))], names=["key", "doc"])
+        for _, (docs, sigs, cls, side) in _groups(batches, 3):
+            yield from _linked(cross_links(docs, sigs, cls, side.astype(bool)))
 
-    return map_arrow(members.join(sig, "doc_id").select("key", "doc_id", "sig"), run, "key long, doc long")
+    return map_arrow(dealt, run, "a long, b long")
 
 
-def agreeing(pairs: DataFrame, reps: DataFrame, run_docs: int = RUN_DOCS, level: int = 0) -> DataFrame:
-    """Pairs that connect the documents of a run whose min-hashes agree on AGREE of the places or more.
+def agreeing(pairs: DataFrame, reps: DataFrame, run_docs: int = RUN_DOCS) -> DataFrame:
+    """Pairs that connect all documents of a run whose min-hashes agree on AGREE of the places or more.
 
     Documents that agree with their run's first are paired with it. Runs in which any is not connected with it by then are gone through
-    in full where they have at most ``run_docs`` documents; larger ones are split by further min-hashes and their parts treated alike.
-    Behind the last level a part that is still larger is dealt into parts of about that size by a hash of the document.
+    in full: those of at most ``run_docs`` documents by one task, larger ones in blocks of about that size, each within itself and then
+    every pair of blocks.
     """
     partitions = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sig = reps.select("doc_id", "sig")
@@ -305,16 +334,13 @@ def agreeing(pairs: DataFrame, reps: DataFrame, run_docs: int = RUN_DOCS, level:
     members = rows.select("key", F.col("a").alias("doc_id")).unionByName(rows.select("key", F.col("b").alias("doc_id"))).distinct()
     # runs of two have nothing left to try
     many = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    members = materialize(members.join(many, "key"), "members")
-    parts = F.lit(0).cast("long")
-    if level < len(LEVELS):
-        large = members.where(F.col("n") > run_docs).select("key", "doc_id")
-        if large.limit(1).count():
-            good = good.unionByName(agreeing(pairs_of_runs(split_keys(large, sig, level), partitions), reps, run_docs, level + 1))
-        members = members.where(F.col("n") <= run_docs)
-    else:
-        parts = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / run_docs))
-    return good.unionByName(within_runs(members.select("key", parts.alias("part"), "doc_id"), sig, partitions)).distinct()
+    parts = F.ceil(F.col("n") / run_docs)
+    members = materialize(members.join(many, "key").select("key", "doc_id", parts.alias("parts"), F.pmod(F.xxhash64("doc_id"), parts).alias("part")), "members")
+    good = materialize(good.unionByName(within_runs(members.select("key", "part", "doc_id"), sig, partitions)).distinct(), "within")
+    large = members.where("parts > 1")
+    if large.limit(1).count():
+        good = good.unionByName(across_parts(large, sig, components(good, "blocks"), partitions)).distinct()
+    return good
 
 
 @dataclass(frozen=True)

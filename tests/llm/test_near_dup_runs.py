@@ -46,3 +46,21 @@ def test_split_runs(spark):
             x, y = root[a], root[b]
             root = [min(x, y) if r in (x, y) else r for r in root]
         assert root == [3 * (i // 3) for i in range(90)]
+
+
+def test_large_runs_lose_no_pair(spark):
+    """Pairs that agree on just enough places stand in any two blocks of a run beyond the bound: each is found, whatever its blocks."""
+    conf, rng = near_dup.NearDup(), np.random.default_rng(17)
+    n, most = 200, int(np.floor((1 - near_dup.AGREE) * conf.hashes))
+    first = rng.integers(0, 256, (n, conf.hashes)).astype(np.uint8)
+    second = first.copy()
+    for row in second:
+        row[rng.permutation(conf.hashes)[:most]] ^= 1
+    order = rng.permutation(2 * n)
+    reps = reps_of(spark, conf, np.concatenate([first, second])[order], [0] * (2 * n))
+    want = {frozenset(np.flatnonzero(order % n == i).tolist()) for i in range(n)}
+    pairs = near_dup.candidate_pairs(reps, conf, 3)
+    for run_docs in (4096, 50):
+        assert {frozenset((r.a, r.b)) for r in near_dup.agreeing(pairs, reps, run_docs).collect()} == want
+    x = rng.integers(0, 3, (50, conf.hashes)).astype(np.uint8)
+    assert (near_dup.agreement(x, x[:7]) == ((x[:, None] == x[None, :7]).mean(axis=2) >= near_dup.AGREE)).all()
